@@ -89,3 +89,19 @@ def map_columns(df: DataFrame, body, schema: str, rows: int = 512) -> DataFrame:
                 )
 
     return df.mapInArrow(run, made)
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salt: int = 32) -> DataFrame:
+    """big joined to a table with one row for each key, null keys matching null.
+
+    A key may hold a third of big's rows: each small row is repeated ``salt`` times and
+    big's rows of a key are dealt over the repeats by ``spread``, so the join holds up
+    where small is too large to broadcast.
+    """
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    right = small.withColumnsRenamed(names).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    left = big.withColumn("__t", F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int"))
+    on = F.col("__t") == F.col("__s")
+    for k, other in names.items():
+        on &= F.col(k).eqNullSafe(F.col(other))
+    return left.join(right, on, how).drop("__t", "__s", *names.values())

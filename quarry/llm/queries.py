@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import media, mixing, sharding
+from quarry.llm import media, mixing, packing, quality, sharding, toxicity
 from quarry.llm.common import documents
 
 
@@ -18,20 +18,50 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(documents(spark, sf_dir), size=2048)
+    return out.select(
+        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", F.col("doc_tokens").cast("long").alias("doc_tokens"),
+        "sequence_id", "offset",
+    )
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(documents(spark, sf_dir)))
 
 
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def queries() -> dict:
     return {
         "op1_histogram_sharding": op1_histogram_sharding,
+        "op3_histogram_packing": op3_histogram_packing,
         "op5_ogg_media": op5_ogg_media,
+        "op7_robust_outliers": op7_robust_outliers,
         "op9_pareto_mixing": op9_pareto_mixing,
+        "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
     }
 
 
