@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import media, mixing, packing, quality, sharding, toxicity
+from quarry.llm import extraction, language, media, mixing, packing, quality, sharding, toxicity
 from quarry.llm.common import documents
 
 
@@ -26,6 +26,13 @@ def op3_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    filters = language.train(docs, remainder(4) != 2)
+    out = language.predict(docs, filters)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(documents(spark, sf_dir)))
 
@@ -35,6 +42,10 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op8_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -58,8 +69,10 @@ def queries() -> dict:
     return {
         "op1_histogram_sharding": op1_histogram_sharding,
         "op3_histogram_packing": op3_histogram_packing,
+        "op4_language_filters": op4_language_filters,
         "op5_ogg_media": op5_ogg_media,
         "op7_robust_outliers": op7_robust_outliers,
+        "op8_block_tree_extraction": op8_block_tree_extraction,
         "op9_pareto_mixing": op9_pareto_mixing,
         "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
     }
