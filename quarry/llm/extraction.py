@@ -216,6 +216,10 @@ LAYOUTS = (
     '<nav>{~3}</nav><article><h1>{+6}</h1><p>{+2}</p></article><footer>{-9}</footer>',
     '<div>{~1}</div><div>{~2}</div><article><p>{+12}{~5}</p><p>{+1}</p></article>',
     '<p>{+40}</p>',
+    '<nav>{~3}</nav><article><p>{+30}</p></article>',
+    '<nav>{~3}</nav><article><p>{+4}</p></article><footer>{~3}</footer>',
+    '<header>{~2}</header><main><p>{+40}</p><p>{+2}</p></main><footer>{~3}</footer>',
+    '<nav>{~3}</nav><main><h1>{+3}</h1><p>{+9}{~3}</p></main><nav>{~4}</nav>',
     '<h1>{+4}</h1><p>{+33}</p><p>{+5}</p>',
     '<nav>{~2}</nav><p>{+35}{~6}</p><p>{+4}</p><p>{+60}</p><p>{+2}</p>',
 )
