@@ -225,7 +225,7 @@ LAYOUTS = (
 )
 
 
-def labelled_table(repeats: int = 6, seed: int = 8) -> tuple[list[tuple[float, ...]], list[bool]]:
+def labelled_table(repeats: int = 24, seed: int = 8) -> tuple[list[tuple[float, ...]], list[bool]]:
     """Feature vectors and labels from LAYOUTS, word counts varied by up to a half."""
     rng = random.Random(seed)
     rows, labels = [], []

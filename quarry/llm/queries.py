@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import extraction, language, media, mixing, packing, quality, sharding, toxicity
+from quarry.llm import extraction, language, media, mixing, ngram_join, packing, quality, sharding, toxicity
 from quarry.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(documents(spark, sf_dir)))
 
 
+def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op3_histogram_packing": op3_histogram_packing,
         "op4_language_filters": op4_language_filters,
         "op5_ogg_media": op5_ogg_media,
+        "op6_prefix_tree_join": op6_prefix_tree_join,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_block_tree_extraction": op8_block_tree_extraction,
         "op9_pareto_mixing": op9_pareto_mixing,
