@@ -101,6 +101,15 @@ def mix(
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    plan = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("copies"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    rows = docs.join(plan.withColumnRenamed("copies", "__n"), same)
+    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+
+
 def share_of(target: Column, size: Column) -> Column:
     """target / size; a quotient within rounding of a whole number counts as that number."""
     return F.when(size > 0, target / size + 1e-9).otherwise(0.0)

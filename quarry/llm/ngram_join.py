@@ -351,6 +351,17 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_fr
     )
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs for each component: the one with the least doc_id.
+
+    An id names a document, so of rows that repeat an id one stays.  Rows without an id
+    stay.  Columns of docs are kept.
+    """
+    least = join(docs, **options).select(F.col("component_id").alias("doc_id")).filter("doc_id is not null").distinct()
+    chosen = docs.filter("doc_id is not null").join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
 def _shared(meets: DataFrame) -> DataFrame:
     """Rows whose key occurs in more than one record."""
     group = Window.partitionBy("key")

@@ -104,19 +104,18 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, min_group: int) -> DataFrame:
-    """rows with the name of the group whose estimate they use, in g."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?")) for c in ("lang", "source"))
-    named = rows.withColumns({"__a": lang, "__b": source})
-    own = named.groupBy("__a", "__b").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
+    """lang, source and the name g of the group whose estimate their documents use."""
+    own = rows.groupBy("lang", "source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
     # One row for each language and source from here on.
     small = F.when(F.col("n") < min_group, F.col("n")).otherwise(0)
-    pooled = own.withColumn("m", F.sum(small).over(Window.partitionBy("__a")))
-    g = (
-        F.when(F.col("n") >= min_group, F.concat_ws("\x1f", "__a", "__b"))
-        .when(F.col("m") >= min_group, F.col("__a"))
-        .otherwise(F.lit(""))
-    )
-    return join_small(named, pooled.select("__a", "__b", g.alias("g")), ["__a", "__b"], F.col("doc_id")).drop("__a", "__b")
+    pooled = own.withColumn("m", F.sum(small).over(Window.partitionBy("lang")))
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?")) for c in ("lang", "source"))
+    g = F.when(F.col("n") >= min_group, F.concat_ws("\x1f", lang, source)).when(F.col("m") >= min_group, lang).otherwise(F.lit(""))
+    return pooled.select("lang", "source", g.alias("g"))
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return join_small(rows, groups, ["lang", "source"], F.col("doc_id"))
 
 
 def _quantile(counted: DataFrame, by: list[str], bin_: str, q: float, name: str) -> DataFrame:
@@ -204,16 +203,39 @@ def estimates(rows: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataFr
     return params.join(middle.join(size, "g").select("g", "n_group", scale.alias("scale")), "g")
 
 
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "base_failed", *STATISTICS, "g", "d2", "kept")
+
+
+def fit(docs: DataFrame, *, text: str = "text", min_group: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statistics of docs without text, group of each language and source, estimates)."""
+    rows = written(statistics(counts(docs.drop(*MADE), text)).drop(text))
+    groups = written(_groups(rows, min_group))
+    named = _named(rows, groups)
+    params = written(estimates(written(named.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS))))
+    return rows, groups, params
+
+
+def verdicts(rows: DataFrame, groups: DataFrame, params: DataFrame, cut: float = 60.0) -> DataFrame:
+    """rows (with statistics) with d2 and kept, by estimates of ``fit``."""
+    far = _with_distance(_named(rows, groups), params, "left")
+    d2 = F.when(F.col("n_group") >= 2 * len(STATISTICS), F.col("d2") / F.col("scale")).otherwise(0.0)
+    return far.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= cut)).drop("n_group", "scale", "g")
+
+
 def judge(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group: int = 60) -> DataFrame:
     """The columns of docs but its text, with the counts, d2 and kept.
 
     kept is false where the base rule fails or d2 exceeds ``cut``.  Needs columns doc_id, lang
     and source; null ones are groups of their own.  Columns of docs that clash are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "base_failed", *STATISTICS, "g", "d2", "kept"]
-    rows = written(statistics(counts(docs.drop(*made), text)).drop(text))
-    grouped = written(_groups(rows, min_group))
-    params = estimates(grouped.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS))
-    far = _with_distance(grouped, params, "left")
-    d2 = F.when(F.col("n_group") >= 2 * len(STATISTICS), F.col("d2") / F.col("scale")).otherwise(0.0)
-    return far.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= cut)).drop("n_group", "scale", "g")
+    return verdicts(*fit(docs, text=text, min_group=min_group), cut)
+
+
+def keep(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group: int = 60) -> DataFrame:
+    """The rows of docs that ``judge`` keeps.
+
+    Statistics are made again row by row, so texts don't move to meet their verdicts.
+    """
+    _, groups, params = fit(docs, text=text, min_group=min_group)
+    rows = statistics(counts(docs, text))
+    return verdicts(rows, groups, params, cut).filter("kept").select(*docs.columns)

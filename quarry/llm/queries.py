@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import extraction, language, media, mixing, ngram_join, packing, quality, sharding, toxicity
+from quarry.llm import chat, extraction, language, media, mixing, ngram_join, packing, quality, sharding, toxicity
 from quarry.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(documents(spark, sf_dir), size=2048)
     return out.select(
@@ -72,6 +76,7 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_histogram_sharding": op1_histogram_sharding,
+        "op2_role_repair": op2_role_repair,
         "op3_histogram_packing": op3_histogram_packing,
         "op4_language_filters": op4_language_filters,
         "op5_ogg_media": op5_ogg_media,

@@ -18,6 +18,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     return map_columns(docs.select(key, text), body, f"`{key}` {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Model, most: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs whose score is below ``most``, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) < most for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def locate(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The offending sentences: key, start and end in code points, sentence, score."""
 
