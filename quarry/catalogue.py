@@ -1,9 +1,608 @@
-"""The registered queries of the retrieval engine and their SQL twins."""
+"""The registered queries of the retrieval engine, and their SQL twins for checking.
+
+Driver tables stand in for the engine's: documents for clean texts, pages for raw HTML,
+embeddings for vectors, events for the queue and fetch log, conversations for chats.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.config import Settings
+from quarry.functions import answers, html, text, urls
+from quarry.operators import chunking, lines, ranking, results, search, state, vectors
+from quarry.plans import ingest, retrieve
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Text ---------------------------------------------------------------------------------
+
+_ODD = "concat(chr(160), ' ', chr(65279), text, chr(9), 'o', chr(699), 'z', chr(8217), 'a', chr(10), chr(10), chr(10), chr(10), 'b  ')"
+
+
+@query(f"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate({_ODD}, chr(160) || chr(65279), ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))) AS clean
+FROM documents""")
+def normalize_ws(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_ws(F.expr(_ODD.replace("chr(65279)", "'\\uFEFF'").replace("chr(699)", "'\\u02BB'").replace("chr(8217)", "'\\u2019'")))).alias("clean"))
+
+
+@query("""
+SELECT doc_id, md5(trim(regexp_replace(translate(concat(chr(160), text, 'o', chr(699), 'z', chr(8217), 'a'), chr(160) || chr(39) || chr(699) || chr(700) || chr(8216) || chr(8217) || chr(8219) || chr(8242) || chr(180) || chr(96), ' '), '\\s+', ' ', 'g'))) AS clean
+FROM documents""")
+def normalize_fts(spark, sf_dir):
+    odd = F.concat(F.lit(" "), "text", F.lit("oʻz’a"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_search(odd)).alias("clean"))
+
+
+@query("""
+SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS INTEGER) AS n_tokens,
+       md5(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}'), ' ')) AS tokens
+FROM documents""")
+def tokenize_relevance(spark, sf_dir):
+    t = text.relevance_tokens(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens"))
+
+
+_CHUNKS = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+c AS (SELECT doc_id, ws, unnest(generate_series(0, CASE WHEN len(ws) <= 350 THEN 0 ELSE CAST(ceil((len(ws) - 350) / 290.0) AS BIGINT) END)) AS i FROM w WHERE len(ws) > 0),
+chunks AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(list_slice(ws, i * 290 + 1, i * 290 + 350), ' ') AS chunk_text FROM c)
+"""
+
+
+def _chunks(spark, sf_dir):
+    return chunking.chunk_words(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(_CHUNKS + "SELECT doc_id, chunk_index, sha256(chunk_text) AS text_hash FROM chunks")
+def chunk_words_350_60(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", F.sha2("chunk_text", 256).alias("text_hash"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, generate_subscripts(ps, 1) AS p, unnest(ps) AS para FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents)),
+w AS (SELECT doc_id, p, para, list_filter(regexp_split_to_array(para, '\\s+'), lambda x: x <> '') AS ws FROM p),
+c AS (SELECT doc_id, p, para, ws, unnest(generate_series(0, CASE WHEN len(ws) <= 150 THEN 0 ELSE CAST(ceil((len(ws) - 150) / 130.0) AS BIGINT) END)) AS i FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1 AS INTEGER) AS chunk_index,
+       md5(CASE WHEN len(ws) <= 150 THEN para ELSE array_to_string(list_slice(ws, i * 130 + 1, i * 130 + 150), ' ') END) AS chunk FROM c""")
+def chunk_paragraph_150_20(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), blank="\n")).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("chunk"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\bThe\\b') AS heads, regexp_split_to_array(text, '\\bThe\\b') AS bodies FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, heads[i] AS label, md5(trim(heads[i] || ' ' || bodies[i + 1], ' ' || chr(9) || chr(10) || chr(13))) AS block
+FROM (SELECT doc_id, heads, bodies, unnest(generate_series(1, len(heads))) AS i FROM t WHERE len(heads) >= 2)""")
+def chunk_marker_split(spark, sf_dir):
+    blocks = chunking.marked_blocks(F.col("text"), r"\bThe\b")
+    d = _t(spark, sf_dir, "documents").select("doc_id", blocks.alias("b")).filter(F.size("b") >= 2)
+    return d.select("doc_id", F.posexplode("b").alias("chunk_index", "b")).select("doc_id", "chunk_index", "b.label", F.md5("b.block").alias("block"))
+
+
+@query(_CHUNKS + "SELECT doc_id, md5(string_agg(chunk_text, chr(10) ORDER BY chunk_index)) AS full_text FROM chunks GROUP BY doc_id")
+def reassemble_chunks(spark, sf_dir):
+    return chunking.reassemble(_chunks(spark, sf_dir)).select("doc_id", F.md5("full_text").alias("full_text"))
+
+
+_LETTERS = text.WORD_LETTERS
+_QUALITY = f"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[{_LETTERS.lower()}]+') AS ws,
+                  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+l AS (SELECT doc_id, CAST(max(n) AS INTEGER) AS top FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(ls) AS line FROM w) GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT doc_id, CAST(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS INTEGER) AS n_chars, CAST(len(ws) AS INTEGER) AS n_words, CAST(len(list_distinct(ws)) AS INTEGER) AS unique_words, CAST(len(ls) AS INTEGER) AS n_lines, coalesce(top, 0) AS top,
+             ({" + ".join(f"CAST(contains(lower(text), '{x}') AS INTEGER)" for x in text.UI_MARKERS)}) >= 2 AS ui FROM w LEFT JOIN l USING (doc_id)),
+q AS (SELECT *, CASE WHEN n_words > 0 THEN unique_words / n_words ELSE 0.0 END AS ur, CASE WHEN n_lines >= 5 THEN top / n_lines ELSE 0.0 END AS clr FROM m),
+quality AS (SELECT *, unique_words + 0.05 * least(n_words, 5000) - CASE WHEN ui THEN 1000 ELSE 0 END - 200 * clr AS sc,
+  NOT ui AND n_words >= 120 AND unique_words >= 60 AND ur >= 0.15 AND NOT (n_lines >= 20 AND clr > 0.25) AS ok FROM q)
+"""
+
+
+@query(_QUALITY + """SELECT doc_id, n_chars, n_words, unique_words, n_lines, round(CAST(ur AS DOUBLE), 6) AS unique_ratio, round(CAST(clr AS DOUBLE), 6) AS common_line_ratio, ui AS looks_like_ui, round(CAST(sc AS DOUBLE), 4) AS score FROM quality""")
+def text_quality(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", text.quality(F.col("text")).alias("q"))
+    return d.select("doc_id", "q.n_chars", "q.n_words", "q.unique_words", "q.n_lines", F.round("q.unique_ratio", 6).alias("unique_ratio"), F.round("q.common_line_ratio", 6).alias("common_line_ratio"), "q.looks_like_ui", F.round("q.score", 4).alias("score"))
+
+
+@query(_QUALITY + "SELECT doc_id, ok AS acceptable FROM quality")
+def quality_gate(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.acceptable(text.quality(F.col("text"))).alias("acceptable"))
+
+
+@query(_QUALITY + "SELECT quality AS label, ok AS acceptable, count(*) AS n FROM quality q JOIN labels USING (doc_id) GROUP BY ALL".replace("SELECT quality AS", "SELECT labels.quality AS"))
+def quality_vs_labels(spark, sf_dir):
+    judged = quality_gate(spark, sf_dir).join(_t(spark, sf_dir, "labels"), "doc_id")
+    return judged.groupBy(F.col("quality").alias("label"), "acceptable").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = """
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, trim(regexp_replace(unnest(ls), '[ \\t]+', ' ', 'g')) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+lines AS (SELECT * FROM l WHERE line <> '')
+"""
+
+
+@query(_LINES + """, d AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM lines)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS clean FROM d WHERE before IS NULL OR before <> line GROUP BY doc_id""")
+def adjacent_line_dedupe(spark, sf_dir):
+    rows = lines.collapse_adjacent(lines.lines(_t(spark, sf_dir, "documents")))
+    return lines.joined(rows).select("doc_id", F.md5("clean_text").alias("clean"))
+
+
+@query(_LINES + """, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS k, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS r FROM lines WHERE NOT regexp_matches(line, '^\\d{1,4}$') AND NOT regexp_matches(lower(line), '^(page|бет)\\s*\\d{1,4}(\\s*/\\s*\\d{1,4})?$')),
+o AS (SELECT doc_id, pos, line FROM n WHERE NOT (k >= 2 AND length(line) <= 200 AND contains(lower(line), 'the')) OR r = 1),
+d AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM o)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS clean FROM d WHERE before IS NULL OR before <> line GROUP BY doc_id""")
+def repeated_line_keep_once(spark, sf_dir):
+    rows = lines.without_page_numbers(lines.lines(_t(spark, sf_dir, "documents")))
+    rows = lines.collapse_adjacent(lines.keep_once(rows, F.contains(F.lower("line"), F.lit("the")), times=2))
+    return lines.joined(rows).select("doc_id", F.md5("clean_text").alias("clean"))
+
+
+@query("""
+SELECT lang, CASE WHEN regexp_matches(text, '[А-Яа-яЁёЎўҚқҒғҲҳ]') THEN 'ru' WHEN regexp_matches(lower(text), '[ʻʼ’]|\\bo[''’]z\\b|qonun|farmon|qaror|modda|soliq') THEN 'uz' ELSE 'en' END AS guess, count(*) AS n
+FROM documents GROUP BY ALL""")
+def detect_language(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("lang", text.detect_language(F.col("text")).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Changes ------------------------------------------------------------------------------
+
+_HASH = "sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT {_HASH} AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_duplicates(spark, sf_dir):
+    h = _t(spark, sf_dir, "documents").withColumn("content_hash", text.content_hash(F.col("text")))
+    return h.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query(f"""
+WITH old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN NULL ELSE {_HASH} END AS old_hash FROM documents WHERE doc_id % 5 <> 0),
+now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN text || ' more' WHEN doc_id % 5 = 3 THEN '  ' || text || '  ' ELSE text END AS text FROM documents),
+h AS (SELECT doc_id, {_HASH} AS new_hash FROM now)
+SELECT doc_id, new_hash, CASE WHEN old_hash IS NULL THEN 'new' WHEN old_hash = new_hash THEN 'unchanged' ELSE 'updated' END AS change FROM h LEFT JOIN old USING (doc_id)""")
+def change_detection(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    old = d.filter("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 != 1, text.content_hash(F.col("text"))).alias("content_hash"))
+    now = d.withColumn("text", F.expr("CASE doc_id % 5 WHEN 2 THEN text || ' more' WHEN 3 THEN '  ' || text || '  ' ELSE text END"))
+    return state.changed(old, now).select("doc_id", "new_hash", "change")
+
+
+# Search -------------------------------------------------------------------------------
+
+_FOLD = "translate(lower({c}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_ASKED = "(VALUES (1, 'the'), (1, 'with'), (1, 'from'), (2, 'que'), (2, 'pour'), (3, 'nicht'), (3, 'the'), (3, 'the')) AS q(query_id, term)"
+
+
+def _asked(spark):
+    rows = [(1, "the with From"), (2, "que 'pour"), (3, "nicht THE the")]
+    return spark.createDataFrame(rows, "query_id int, query string")
+
+
+@query(_CHUNKS + f""", tok AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all({_FOLD.format(c="chunk_text")}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM chunks),
+sizes AS (SELECT doc_id, chunk_index, count(term) AS d FROM chunks LEFT JOIN tok USING (doc_id, chunk_index) GROUP BY 1, 2),
+st AS (SELECT count(*) AS rows_all, avg(d) AS avg_d FROM sizes),
+q AS (SELECT * FROM {_ASKED}),
+f AS (SELECT term, doc_id, chunk_index, count(*) AS f FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT query_id, doc_id, chunk_index, round(-sum(CASE WHEN ln((rows_all - df + 0.5) / (df + 0.5)) > 0 THEN ln((rows_all - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg_d))), 6) + 0.0 AS bm25
+      FROM q JOIN f USING (term) JOIN df USING (term) JOIN sizes USING (doc_id, chunk_index), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id, chunk_index) AS c FROM s),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY bm25, chunk_index) AS g FROM r WHERE c <= 60),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id, chunk_index) AS pos FROM g WHERE g <= 2)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, doc_id, chunk_index, bm25 FROM p WHERE pos <= 8""")
+def fts_bm25_topk(spark, sf_dir):
+    keys = ["doc_id", "chunk_index"]
+    f, sizes = search.postings(_chunks(spark, sf_dir), keys, {"chunk_text": 1.0})
+    hits = search.bm25(f, sizes, search.terms(_asked(spark)), keys)
+    top = search.capped(hits, "bm25", "doc_id", 2, 8, 60, tie=["doc_id", "chunk_index"])
+    return top.select("query_id", "pos", "doc_id", "chunk_index", "bm25")
+
+
+_STRIP = "regexp_replace({c}, '<!--(.|\\n)*?-->', ' ', 'g')"
+for _tag in html.STRIPPED:
+    _STRIP = f"regexp_replace({_STRIP}, '(?s)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
+_STRIP = f"trim(regexp_replace(regexp_replace({_STRIP}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, md5({_STRIP.format(c='html')}) AS body, CAST(length({_STRIP.format(c='html')}) AS INTEGER) AS n_chars FROM pages")
+def html_strip_text(spark, sf_dir):
+    t = html.strip_tags(F.col("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(t).alias("body"), F.length(t).alias("n_chars"))
+
+
+@query("SELECT page_id, md5(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS heading, md5(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title_h1(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    return p.select("page_id", F.md5(html.heading(F.col("html"))).alias("heading"), F.md5(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@query("""
+SELECT page_id, href, CAST(min(pos) - 1 AS INTEGER) AS pos FROM (
+  SELECT page_id, generate_subscripts(hs, 1) AS pos, unnest(hs) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=["'']([^"'']*)["'']', 1) AS hs FROM pages)) GROUP BY 1, 2""")
+def html_links(spark, sf_dir):
+    return html.links(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_tree_lines(spark, sf_dir):
+    return ingest.clean_pages(_t(spark, sf_dir, "pages"), "page_id")
+
+
+@query()
+def html_tree_index(spark, sf_dir):
+    return html.extracted(_t(spark, sf_dir, "pages"), "index").select("page_id", text.normalize_search(F.col("title")).alias("title"), text.normalize_search(F.col("text")).alias("text"))
+
+
+@query(f"""
+WITH rows AS (SELECT page_id, {_FOLD.format(c="regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_FOLD.format(c=_STRIP.format(c="html"))} AS body FROM pages),
+tok AS (SELECT page_id, 6.0 AS w, unnest(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}]+')) AS term FROM rows UNION ALL SELECT page_id, 1.0, unnest(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+')) FROM rows),
+sizes AS (SELECT page_id, count(*) AS d FROM tok GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM pages) AS rows_all, (SELECT sum(d) FROM sizes) / (SELECT count(*) FROM pages) AS avg_d),
+q AS (SELECT * FROM {_ASKED}),
+f AS (SELECT term, page_id, CAST(sum(w) AS DOUBLE) AS f FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+SELECT query_id, page_id, round(-sum(CASE WHEN ln((rows_all - df + 0.5) / (df + 0.5)) > 0 THEN ln((rows_all - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg_d))), 6) + 0.0 AS bm25
+FROM q JOIN f USING (term) JOIN df USING (term) JOIN sizes USING (page_id), st GROUP BY ALL""")
+def fts_title_weighted(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", html.heading(F.col("html")).alias("title"), html.strip_tags(F.col("html")).alias("body"))
+    f, sizes = search.postings(p, ["page_id"], {"title": 6.0, "body": 1.0})
+    return search.bm25(f, sizes, search.terms(_asked(spark)), ["page_id"])
+
+
+@query("""
+WITH q AS (SELECT CAST(item_id AS BIGINT) AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS ts FROM benchmark WHERE item_id < 3),
+qt AS (SELECT query_id, unnest(ts) AS term FROM q),
+c AS (SELECT query_id, doc_id AS item_id, text FROM q, documents WHERE doc_id % 7 = query_id),
+tf AS (SELECT query_id, item_id, term, count(*) AS tf FROM (SELECT query_id, item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM c) JOIN qt USING (query_id, term) GROUP BY ALL),
+df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_all FROM c GROUP BY 1),
+s AS (SELECT query_id, item_id, sum(ln((n_all - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2)) AS s FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY ALL)
+SELECT query_id, item_id, round(coalesce(s, 0.0), 6) AS bm25 FROM (SELECT query_id, item_id FROM c) LEFT JOIN s USING (query_id, item_id)""")
+def bm25_lite_topk(spark, sf_dir):
+    q = _t(spark, sf_dir, "benchmark").filter("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    # Each document is a candidate of one query at most.
+    c = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("item_id"), "text").filter("query_id < 3")
+    return search.bm25_lite(q, c.join(q.select("query_id"), "query_id", "left_semi"))
+
+
+# Vectors ------------------------------------------------------------------------------
+
+def _cos(a: str, b: str) -> str:
+    return f"round(list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_inner_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_inner_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"
+
+
+_HITS = f"""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM s)
+"""
+
+
+def _vector_hits(spark, sf_dir, k, metric="cosine"):
+    v = _t(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k(q, v, k, metric=metric)
+
+
+@query(_HITS + "SELECT query_id, vec_id, score, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 10")
+def vector_topk_cosine(spark, sf_dir):
+    return _vector_hits(spark, sf_dir, 10)
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM s)
+SELECT query_id, vec_id, score, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 15""")
+def vector_topk_ip(spark, sf_dir):
+    return _vector_hits(spark, sf_dir, 15, "ip")
+
+
+@query(_HITS + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS g FROM r WHERE pos <= 15)
+SELECT query_id, vec_id, CAST(pos AS INTEGER) AS pos FROM g WHERE g <= 3""")
+def cap_after_topk(spark, sf_dir):
+    hits = _vector_hits(spark, sf_dir, 15).join(_t(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return ranking.cap_after(hits.drop("pos"), 15, 3, "label", tie="vec_id").select("query_id", "vec_id", "pos")
+
+
+@query(_HITS + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS g FROM r WHERE pos <= 200),
+p AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM g WHERE g <= 2)
+SELECT query_id, vec_id, CAST(pos AS INTEGER) AS pos FROM p WHERE pos <= 8""")
+def cap_before_topk(spark, sf_dir):
+    hits = _vector_hits(spark, sf_dir, 200).join(_t(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return ranking.cap_before(hits.drop("pos"), 8, 2, "label", tie="vec_id").select("query_id", "vec_id", "pos")
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    hits = _vector_hits(spark, sf_dir, 15).join(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return ranking.mmr(hits.select("query_id", F.col("vec_id").alias("item_id"), "score", "embedding"))
+
+
+@query(_HITS + """, b AS (SELECT query_id, vec_id, score, (vec_id % 10) / 2.0 AS bm25, CASE WHEN vec_id % 3 = 0 THEN 0.2 ELSE 0.0 END AS bonus FROM r WHERE pos <= 30)
+SELECT query_id, vec_id, round(CAST(0.7 * (score + 1) / 2 + 0.3 * (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w + 1e-9) + bonus AS DOUBLE), 6) AS score FROM b WINDOW w AS (PARTITION BY query_id)""")
+def hybrid_score(spark, sf_dir):
+    b = _vector_hits(spark, sf_dir, 30).withColumns({"bm25": (F.col("vec_id") % 10) / 2, "bonus": F.when(F.col("vec_id") % 3 == 0, 0.2).otherwise(0.0)})
+    return b.select("query_id", "vec_id", F.round(ranking.hybrid(F.col("score"), F.col("bm25"), F.col("bonus")), 6).alias("score"))
+
+
+def _result_list(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    return p.select((F.col("page_id") % 5).alias("query_id"), F.col("page_id").alias("pos"), "url", html.heading(F.col("html")).alias("title"), F.left(html.strip_tags(F.col("html")), F.lit(220)).alias("snippet"), html.strip_tags(F.col("html")).alias("page_text"))
+
+
+@query()
+def hybrid_two_stage(spark, sf_dir):
+    rows = _result_list(spark, sf_dir)
+    q = spark.createDataFrame([(i, f"the {w} and") for i, w in enumerate(("with", "que", "nicht", "para", "from"))], "query_id long, query string")
+    return retrieve.stage2(q, rows, r"\bThe\b").select("query_id", "pos", "url", "chunk_index", "score")
+
+
+@query()
+def dense_retrieval_context(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://docs.example.org/docs/"), F.col("doc_id").cast("string")).alias("url"))
+    c = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("vec_id"), F.lit(0).alias("chunk_index"), "text")
+    return ranking.context_blocks(retrieve.dense(q, v, c, d))
+
+
+# Result lists -------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
+
+
+@query(f"""SELECT page_id, coalesce(nullif(left(regexp_extract(regexp_replace(regexp_replace({_HOST}, '^www\\.', ''), '(\\.uz|\\.com|\\.ru|\\.org|\\.net|\\.io|\\.co|\\.info)$', ''), '([^.]*)$', 1), 10), ''), 'web') AS label FROM pages""")
+def domain_label(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.label(F.col("url")).alias("label"))
+
+
+@query("""SELECT page_id, regexp_replace(url, '#.*$', '') AS plain, nullif(regexp_extract(replace(url, '/en/', '/docs/-'), '/docs/(-?\\d+)', 1), '') AS doc_id, nullif(regexp_extract(replace(url, '/en/', '/docs/-'), '/docs/-?(\\d+)', 1), '') AS doc_key,
+CASE WHEN regexp_matches(url, '^[a-zA-Z]+://www\\.') THEN regexp_replace(url, '^([a-zA-Z]+://)www\\.', '\\1') ELSE regexp_replace(url, '^([a-zA-Z]+://)', '\\1www.') END AS toggled FROM pages""")
+def url_normalise(spark, sf_dir):
+    doc = F.replace("url", F.lit("/en/"), F.lit("/docs/-"))
+    return _t(spark, sf_dir, "pages").select("page_id", urls.without_fragment(F.col("url")).alias("plain"), urls.doc_id(doc).alias("doc_id"), urls.doc_key(doc).alias("doc_key"), urls.toggle_www(F.col("url")).alias("toggled"))
+
+
+_LIST = f"""
+WITH l AS (SELECT CAST(page_id % 3 AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS INTEGER) AS pos,
+  'https://' || CASE page_id % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'old.' ELSE '' END || 'docs.example.org' || CASE WHEN page_id % 2 = 0 THEN '/uz' ELSE '' END || '/docs/' || CASE WHEN page_id % 5 = 0 THEN '-' ELSE '' END || CAST(page_id % 20 AS VARCHAR) || CASE WHEN page_id % 3 = 1 THEN '?x=1' ELSE '' END AS url, page_id FROM pages)
+"""
+
+
+def _document_list(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    u = F.expr("""'https://' || CASE page_id % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'old.' ELSE '' END || 'docs.example.org' || CASE WHEN page_id % 2 = 0 THEN '/uz' ELSE '' END || '/docs/' || CASE WHEN page_id % 5 = 0 THEN '-' ELSE '' END || CAST(page_id % 20 AS STRING) || CASE WHEN page_id % 3 = 1 THEN '?x=1' ELSE '' END""")
+    return results.renumber(p.select((F.col("page_id") % 3).alias("query_id"), u.alias("url"), "page_id"), "page_id")
+
+
+@query(_LIST + """, k AS (SELECT *, regexp_extract(url, '/docs/-?(\\d+)', 1) AS key, CASE WHEN contains(url, '?') THEN 0 ELSE 2 END + CASE WHEN contains(url, '/uz/') OR length(url) - length(replace(url, '/', '')) <= 4 THEN 1 ELSE 0 END AS score FROM l WHERE NOT contains(url, '//old.')),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, pos) AS r, min(pos) OVER (PARTITION BY query_id, key) AS first FROM k)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS pos, url, page_id FROM r WHERE r = 1""")
+def url_dedupe_best(spark, sf_dir):
+    return results.one_per_document(_document_list(spark, sf_dir)).select("query_id", "pos", "url", "page_id")
+
+
+@query(_LIST + """, b AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS part, CASE WHEN contains(url, '/uz/') THEN 0 ELSE 1 END AS good FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY good, part, pos) AS r FROM b)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY good, part, pos) AS INTEGER) AS pos, url, page_id FROM r WHERE r = 1""")
+def merge_results_prefer(spark, sf_dir):
+    rows = _document_list(spark, sf_dir)
+    return results.merged(rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1"), F.contains(F.col("url"), F.lit("/uz/"))).select("query_id", "pos", "url", "page_id")
+
+
+@query(f"""WITH l AS (SELECT CAST(page_id % 5 AS BIGINT) AS query_id, page_id AS pos, url, length(html) AS score, right({_HOST}, 6) AS host FROM pages),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, {_HOST} ORDER BY score DESC, pos) AS g FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS p FROM g WHERE g <= 2)
+SELECT query_id, url, CAST(p AS INTEGER) AS pos FROM p WHERE p <= 5""")
+def domain_cap_select(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query_id"), F.col("page_id").alias("pos"), "url", F.length("html").alias("score"))
+    return results.per_domain(p, 2, 5, "score").select("query_id", "url", "pos")
+
+
+# State --------------------------------------------------------------------------------
+
+_TS = "timezone('UTC', ts)"
+
+
+def _events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("url"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("doc_id"), F.col("event_type").alias("reason"),
+                    F.floor("value").cast("int").alias("priority"), F.col("ts").alias("scheduled_at"), F.col("ts").alias("now"), F.col("event_id").alias("seq"))
+
+
+_QUEUE = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS url, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS doc_id, event_type AS reason, CAST(floor(value) AS INTEGER) AS priority, ts, event_id AS seq FROM events),
+queue AS (SELECT url, max_by(doc_id, CASE WHEN doc_id IS NOT NULL THEN seq END) AS doc_id, max_by(reason, seq) AS reason, max(priority) AS priority, min(ts) AS scheduled_at, 0 AS attempts, max(ts) AS updated_at FROM e GROUP BY url)
+"""
+
+
+def _queue(spark, sf_dir):
+    return state.enqueue(spark.createDataFrame([], state.QUEUE), _events(spark, sf_dir))
+
+
+@query(_QUEUE + "SELECT url, doc_id, reason, priority, CAST(epoch_us(scheduled_at) AS BIGINT) AS scheduled_us, CAST(epoch_us(updated_at) AS BIGINT) AS updated_us, attempts FROM queue")
+def enqueue_upsert(spark, sf_dir):
+    return _queue(spark, sf_dir).select("url", "doc_id", "reason", "priority", F.unix_micros("scheduled_at").alias("scheduled_us"), F.unix_micros("updated_at").alias("updated_us"), "attempts")
+
+
+@query(_QUEUE + "SELECT url, priority FROM (SELECT * FROM queue WHERE scheduled_at <= TIMESTAMP '2024-01-02 00:00:00' ORDER BY priority DESC, scheduled_at, url LIMIT 15)")
+def dequeue_batch(spark, sf_dir):
+    return state.dequeue(_queue(spark, sf_dir), F.expr("TIMESTAMP'2024-01-02 00:00:00'"), 15).select("url", "priority")
+
+
+def _doc_state(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("event_id % 7 <> 0")
+    d = e.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.max("ts").alias("next_recheck_at"), F.max_by("event_type", "event_id").alias("kind"), F.min("ts").cast("timestamp").alias("last_seen_at"))
+    return d.select(
+        "doc_id", F.when(F.col("kind") != "signup", F.col("next_recheck_at")).cast("timestamp").alias("next_recheck_at"), F.when(F.col("kind") == "error", "error").otherwise("ok").alias("status"), "last_seen_at",
+        F.when(F.col("kind") == "error", "").alias("last_error"), F.lit("h0").alias("content_hash"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("timestamp").alias("last_fetched_at"), F.lit(None).cast("timestamp").alias("last_changed_at"),
+    )
+
+
+_DOCS = """
+WITH d0 AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(ts) AS nr, max_by(event_type, event_id) AS kind, min(ts) AS last_seen_at FROM events WHERE event_id % 7 <> 0 GROUP BY 1),
+docs AS (SELECT doc_id, CASE WHEN kind <> 'signup' THEN nr END AS next_recheck_at, CASE WHEN kind = 'error' THEN 'error' ELSE 'ok' END AS status, last_seen_at, CASE WHEN kind = 'error' THEN '' END AS last_error FROM d0)
+"""
+
+
+@query(_DOCS + "SELECT doc_id, CAST(epoch_us(next_recheck_at) AS BIGINT) AS due_us FROM (SELECT * FROM docs WHERE next_recheck_at IS NOT NULL AND next_recheck_at <= TIMESTAMP '2024-01-31 00:00:00' ORDER BY next_recheck_at, doc_id LIMIT 6)")
+def recheck_due(spark, sf_dir):
+    return state.recheck_due(_doc_state(spark, sf_dir), F.expr("TIMESTAMP'2024-01-31 00:00:00'"), 6).select("doc_id", F.unix_micros("next_recheck_at").alias("due_us"))
+
+
+@query(_DOCS + """, r AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max_by(event_type, event_id) AS kind, max(ts) AS now, max(event_id) AS id FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT doc_id, CASE WHEN r.kind IS NULL THEN status WHEN r.kind = 'signup' THEN 'skipped' WHEN r.kind = 'error' THEN 'error' ELSE 'ok' END AS status,
+  CAST(epoch_us(CASE WHEN r.kind IS NULL THEN next_recheck_at WHEN r.kind = 'error' THEN now + INTERVAL 3 DAY ELSE now + INTERVAL 21 DAY END) AS BIGINT) AS due_us,
+  CASE WHEN r.kind = 'view' THEN 'h' || CAST(id AS VARCHAR) ELSE 'h0' END AS content_hash,
+  CAST(epoch_us(CASE WHEN r.kind = 'view' THEN now END) AS BIGINT) AS changed_us
+FROM docs LEFT JOIN r USING (doc_id)""")
+def record_fetch_merge(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("user_id % 2 = 0")
+    r = e.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("kind"), F.max("ts").cast("timestamp").alias("now"), F.max("event_id").alias("id"))
+    fetched = r.select(
+        "doc_id", F.when(F.col("kind").isin("error", "signup"), "failed").alias("error"), (F.col("kind") == "signup").alias("skipped"), (F.col("kind") == "view").alias("changed"),
+        F.when(F.col("kind") == "view", F.concat(F.lit("h"), F.col("id").cast("string"))).alias("content_hash"), F.lit(None).cast("string").alias("etag"), "now",
+    )
+    out = state.record_fetch(_doc_state(spark, sf_dir), fetched)
+    return out.select("doc_id", "status", F.unix_micros("next_recheck_at").alias("due_us"), "content_hash", F.unix_micros("last_changed_at").alias("changed_us"))
+
+
+@query(_CHUNKS + "SELECT doc_id, chunk_index, CAST(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 0 ELSE 1 END AS INTEGER) AS active FROM chunks")
+def deactivate_flag(spark, sf_dir):
+    rows = _chunks(spark, sf_dir).select("doc_id", "chunk_index", F.lit(1).alias("active"))
+    return state.deactivate(rows, _t(spark, sf_dir, "labels").filter("quality = 0")).select("doc_id", "chunk_index", "active")
+
+
+@query(_DOCS + """, t AS (SELECT doc_id FROM docs WHERE status = 'error' ORDER BY last_seen_at DESC, doc_id LIMIT 5)
+SELECT doc_id, CAST(epoch_us(CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN TIMESTAMP '2024-02-01 00:00:00' ELSE next_recheck_at END) AS BIGINT) AS due_us FROM docs""")
+def force_recheck_topn(spark, sf_dir):
+    out = state.force_recheck(_doc_state(spark, sf_dir), F.expr("TIMESTAMP'2024-02-01 00:00:00'"), limit=5)
+    return out.select("doc_id", F.unix_micros("next_recheck_at").alias("due_us"))
+
+
+@query(_DOCS + "SELECT doc_id, CASE WHEN status = 'error' AND doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 0) THEN 'ok' ELSE status END AS status FROM docs")
+def repair_status(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), (1 - F.col("toxic")).alias("active"))
+    return state.repair(_doc_state(spark, sf_dir), chunks).select("doc_id", "status")
+
+
+@query(_CHUNKS + """SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS queue, (SELECT count(*) FROM chunks) AS active_chunks, (SELECT count(*) FROM embeddings) AS active_vectors""")
+def stats_row(spark, sf_dir):
+    on = F.lit(1).alias("active")
+    return state.stats(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "events"), _chunks(spark, sf_dir).select(on), _t(spark, sf_dir, "embeddings").select(on))
+
+
+@query(_CHUNKS + "SELECT d.doc_id, count(c.chunk_index) AS n FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id AND c.chunk_index > 0 GROUP BY 1")
+def doc_chunk_counts(spark, sf_dir):
+    c = _chunks(spark, sf_dir).filter("chunk_index > 0")
+    return _t(spark, sf_dir, "documents").select("doc_id").join(c, "doc_id", "left").groupBy("doc_id").agg(F.count("chunk_index").alias("n"))
+
+
+@query(_CHUNKS + "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = d.doc_id AND c.chunk_index >= 2)")
+def docs_with_active_chunks(spark, sf_dir):
+    c = _chunks(spark, sf_dir).filter("chunk_index >= 2")
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang").join(c, "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM (SELECT * FROM documents WHERE lang = 'fr' ORDER BY n_chars DESC, doc_id LIMIT 20)")
+def list_docs_filtered(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id", "lang", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
+
+
+@query("SELECT doc_id FROM documents WHERE source ILIKE '%RC1%' OR text ILIKE '%NICHT AULICH%'")
+def doc_lookup_like(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter(F.col("source").ilike("%RC1%") | F.col("text").ilike("%NICHT AULICH%")).select("doc_id")
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'unchanged' ELSE 'updated' END AS outcome FROM events) GROUP BY 1")
+def ingest_counters(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("outcome", F.expr("CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'unchanged' ELSE 'updated' END"))
+    return ingest.outcomes(e)
+
+
+@query("SELECT key, max_by(value, seq) AS value FROM (SELECT event_type AS key, CAST(value AS VARCHAR) AS v0, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS value, event_id AS seq FROM events) GROUP BY key")
+def meta_last_value(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.floor(F.col("value") * 100).cast("string").alias("value"), F.col("event_id").alias("seq"))
+    return state.meta_set(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1")).select("key", "value")
+
+
+# Context and answers ------------------------------------------------------------------
+
+@query("""
+WITH l AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, replace(text, chr(10), ' ') AS line FROM documents),
+u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, md5(CASE WHEN used + length(line) + 1 <= 3500 THEN line ELSE left(line, CAST(greatest(0, 3500 - used - 50) AS BIGINT)) || chr(10) || '...' END) AS line FROM u WHERE used < 3500""")
+def context_budget(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
+    d = d.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return ranking.context_lines(d, 3500).select("query_id", "pos", F.md5("line").alias("line"))
+
+
+_ANSWER = "text || ' [' || (conv_id % 4 + 1) || '] and [' || (turn % 3 + 1) || ']' || chr(10) || chr(10) || text || chr(10) || 'Sources:' || chr(10) || 'x [9]'"
+
+
+def _answered(spark, sf_dir):
+    a = F.expr("text || ' [' || (conv_id % 4 + 1) || '] and [' || (turn % 3 + 1) || ']\\n\\n' || text || '\\nSources:\\nx [9]'")
+    return _t(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", a.alias("answer"))
+
+
+@query()
+def answer_blocks(spark, sf_dir):
+    ids = F.array(*[F.lit(str(i)) for i in range(1, 4)])
+    rows = _answered(spark, sf_dir).select("conv_id", "turn", F.posexplode(answers.blocks(F.col("answer"), ids)).alias("i", "b"))
+    return rows.select("conv_id", "turn", "i", "b.text", F.array_join("b.anchorSources", ",").alias("anchors"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({_ANSWER}, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)))), ',') AS cited FROM conversations WHERE role = 'assistant'")
+def citations(spark, sf_dir):
+    return _answered(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(answers.cited_numbers(F.col("answer")), lambda x: x.cast("string")), ",").alias("cited"))
+
+
+@query("""
+SELECT conv_id, turn, array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5), 1, 6), '?|') || '?' AS questions FROM conversations
+WHERE role = 'assistant' AND len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5)) > 0""")
+def related_questions(spark, sf_dir):
+    made = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **"), x, F.lit("?** ")))
+    c = _t(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("Answer.\nRelated questions:\n"), F.array_join(made, "\n")).alias("a"), F.size(made).alias("n")).filter("n > 0")
+    return c.select("conv_id", "turn", F.array_join(answers.related_questions(F.col("a")), "|").alias("questions"))
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def last_history_message(spark, sf_dir):
+    return answers.last_message(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query()
+def ingest_batch(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("https://docs.example.org/docs/"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("title"), "text", F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.lit(None).cast("string").alias("etag"))
+    empty = ingest.Snapshot(spark.createDataFrame([], ingest.DOCUMENTS), spark.createDataFrame([], ingest.CHUNKS))
+    first, _ = ingest.ingest(empty, d, F.expr("TIMESTAMP'2024-01-01 00:00:00'"))
+    again = d.withColumn("text", F.when(F.col("doc_id").cast("long") % 4 == 0, F.concat("text", F.lit(" more words"))).otherwise(F.col("text"))).withColumn("error", F.lit(None).cast("string"))
+    _, results_ = ingest.ingest(first, again, F.expr("TIMESTAMP'2024-01-02 00:00:00'"))
+    return results_
