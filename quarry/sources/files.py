@@ -23,7 +23,7 @@ def html_folder(spark: SparkSession, root: str, url_template: str = "https://doc
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.html?$"))
     doc = urls.path_id(F.col("path"))
     before, after = url_template.split("{id}")
-    return files.select("path", doc.alias("doc_id"), F.concat(F.lit(before), doc, F.lit(after)).alias("url"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select("path", doc.alias("doc_id"), F.concat(F.lit(before), doc, F.lit(after)).alias("url"), F.decode("content", "UTF-8").alias("html"))
 
 
 def index_rows(pages: DataFrame, size: int = 350, overlap: int = 60) -> DataFrame:
