@@ -232,10 +232,11 @@ def judge(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group:
 
 
 def keep(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group: int = 60) -> DataFrame:
-    """The rows of docs that ``judge`` keeps.
+    """The rows of docs that ``judge`` keeps, with all their columns as they are.
 
     Statistics are made again row by row, so texts don't move to meet their verdicts.
     """
-    _, groups, params = fit(docs, text=text, min_group=min_group)
-    rows = statistics(counts(docs, text))
-    return verdicts(rows, groups, params, cut).filter("kept").select(*docs.columns)
+    used = docs.select("doc_id", "lang", "source", text)
+    _, groups, params = fit(used, text=text, min_group=min_group)
+    carried = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "lang", "source", text)
+    return verdicts(statistics(counts(carried, text)), groups, params, cut).filter("kept").select("__row.*")
