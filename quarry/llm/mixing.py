@@ -9,7 +9,8 @@ A source with target / size = r gives floor(r) whole copies of each document for
 The rest is a Pareto sample: each document with odds p / (1 - p) of inclusion and random
 odds u / (1 - u) has rank (u / (1 - u)) / (p / (1 - p)), and the lowest ranks are taken
 while their words fit what is left of the target.  What a long document leaves open at the
-edge is filled in the same order from those that still fit, ``rounds`` times in all.  p is the wanted fraction, raised or lowered by an optional column of
+edge is filled in the same order from those that still fit, then with second copies of
+those that do, and at the end by the one document that brings the sum nearest.  p is the wanted fraction, raised or lowered by an optional column of
 relative odds.  u comes from a hash of the document, so reruns agree.
 
 Ranks are summed in two steps: exact words for each source and rank bin, then row by row
@@ -56,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
 
 def mix(
     docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0, odds: Column | None = None,
-    text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 9, bins: int = 4096, rounds: int = 3,
+    text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 9, bins: int = 4096, rounds: int = 4,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
 
@@ -88,7 +89,8 @@ def mix(
         "source", F.greatest(F.lit(0.0), F.col("target") - F.floor(share_of(F.col("target"), F.col("source_size"))) * F.col("source_size")).alias("rest")
     )
     for k in range(rounds):
-        rows = written(_take(rows, left, last=k == rounds - 1))
+        step = _nearest(rows, left, int(max_repeat)) if k == rounds - 1 else _take(rows, left, int(max_repeat), bins)
+        rows = written(step)
         got = rows.filter("new").groupBy("source").agg(F.sum("size").alias("got"))
         left = (
             left.join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
@@ -115,17 +117,17 @@ def share_of(target: Column, size: Column) -> Column:
     return F.when(size > 0, target / size + 1e-9).otherwise(0.0)
 
 
-def _take(rows: DataFrame, left: DataFrame, last: bool) -> DataFrame:
-    """rows with extra set where rank order fills what is left of each source's words.
+def _take(rows: DataFrame, left: DataFrame, most: int, bins: int) -> DataFrame:
+    """rows with extra raised where rank order fills what is left of each source's words.
 
-    Only documents that fit at all take part; the last time, those that bring the sum
-    nearer do.  ``new`` marks what this call took.
+    Only documents that fit at all and have under ``most`` copies take part, those with
+    fewer extra copies first.  ``new`` marks what this call took.
     """
     rest = left.withColumnRenamed("source", "s")
     known = rows.drop("rest", "new").join(rest, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest") * (2 if last else 1))
-    marked = known.withColumn("fits", fits)
-    sums = marked.filter("fits").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    fits = (F.col("whole") + F.col("extra") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    marked = known.withColumns({"fits": fits, "turn": F.col("extra") * bins + F.col("bin")})
+    sums = marked.filter("fits").groupBy("source", F.col("turn").alias("bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     run = Window.partitionBy("source").orderBy("bin")
     cut = (
         sums.withColumn("upto", F.sum("words").over(run))
@@ -135,10 +137,30 @@ def _take(rows: DataFrame, left: DataFrame, last: bool) -> DataFrame:
         .select(F.col("source").alias("s"), F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
     )
     placed = marked.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    at_edge = F.col("fits") & F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
-    sure = placed.filter(~at_edge).withColumn("new", F.col("fits") & F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)))
+    at_edge = F.col("fits") & F.coalesce(F.col("turn") == F.col("cut"), F.lit(False))
+    sure = placed.filter(~at_edge).withColumn("new", F.col("fits") & F.coalesce(F.col("turn") < F.col("cut"), F.lit(True)))
     within = Window.partitionBy("source").orderBy("rank", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("size").over(within)
-    edge = placed.filter(at_edge).withColumn("new", upto - (F.col("size") / 2 if last else 0) <= F.col("rest"))
+    edge = placed.filter(at_edge).withColumn("new", upto <= F.col("rest"))
     both = sure.unionByName(edge)
-    return both.withColumn("extra", F.when(F.col("new"), 1).otherwise(F.col("extra"))).drop("fits", "cut", "before", "rest")
+    return both.withColumn("extra", F.when(F.col("new"), F.col("extra") + 1).otherwise(F.col("extra"))).drop("fits", "turn", "cut", "before", "rest")
+
+
+def _nearest(rows: DataFrame, left: DataFrame, most: int) -> DataFrame:
+    """rows with one more copy, in each source, of the document that fills its rest best.
+
+    Nothing is taken where the rest is nearer to the target as it is.
+    """
+    rest = left.withColumnRenamed("source", "s")
+    known = rows.drop("rest", "new").join(rest, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    able = known.filter((F.col("whole") + F.col("extra") < most) & (F.col("size") > 0) & (F.col("size") < F.col("rest") * 2))
+    best = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "extra", "rank", "doc_id", "h")).alias("b"))
+    mark = best.select(F.col("source").alias("s"), F.col("b.doc_id").alias("i"), F.col("b.h").alias("k"), F.col("b.extra").alias("e"))
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("k")) & (F.col("extra") == F.col("e"))
+    found = known.join(mark, same, "left")
+    # Of rows that repeat the document one gets the copy.
+    others = found.filter(F.col("e").isNull()).withColumn("new", F.lit(False))
+    first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "h")) == 1
+    chosen = found.filter(F.col("e").isNotNull()).withColumn("new", first)
+    out = others.unionByName(chosen)
+    return out.withColumn("extra", F.when(F.col("new"), F.col("extra") + 1).otherwise(F.col("extra"))).drop("rest", "s", "i", "k", "e")
