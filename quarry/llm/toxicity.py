@@ -92,6 +92,19 @@ def _bags(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select("doc_id", "toxic", "text"), body, "doc_id long, toxic int, bags array<array<string>>")
 
 
+def _hits(bags: DataFrame, index: dict[str, int]) -> DataFrame:
+    """doc_id, toxic, the number of sentences, and the known features' numbers of those with any."""
+
+    def body():
+        def step(keys, labels, rows):
+            hits = [[h for h in ([index[w] for w in s if w in index] for s in r) if h] for r in rows]
+            return keys, labels, [len(r) for r in rows], hits
+
+        return step
+
+    return map_columns(bags, body, "doc_id long, toxic int, n int, hits array<array<int>>")
+
+
 def fit_noisy_or(sentences: list[tuple[int, list[int]]], plain: np.ndarray, labels: np.ndarray, size: int, *, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias.  sentences: (document, word numbers) of those with known words;
     plain: how many other sentences each document has."""
@@ -161,10 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
         .collect()
     )
     index = {r.word: i for i, r in enumerate(chosen)}
-    keep = F.array(*[F.lit(w) for w in sorted(index)]) if index else F.array().cast("array<string>")
-    known = F.transform("bags", lambda b: F.array_intersect(b, keep))
-    found = bags.select("toxic", F.size("bags").alias("n"), F.filter(known, lambda b: F.size(b) > 0).alias("hits")).orderBy("doc_id").collect()
-    sentences = [(d, [index[w] for w in ws]) for d, r in enumerate(found) for ws in r.hits]
+    found = _hits(bags, index).orderBy("doc_id").collect()
+    sentences = [(d, ws) for d, r in enumerate(found) for ws in r.hits]
     plain = np.array([r.n - len(r.hits) for r in found], dtype=float)
     y = np.array([r.toxic > 0 for r in found])
     weights, bias = fit_noisy_or(sentences, plain, y, len(index))
