@@ -13,12 +13,14 @@ smaller one's keys, so they meet in the leading keys of both.
 3. Leading keys that two records share form groups.  A record that shares too few of its
    keys below the fixed point to be similar to anything is dropped; this needs counts only.
 4. In each group the record of lowest hash is the hub, and pairs of a hub and a member that
-   meet often are verified first; verified links give components.  Then the pairs whose
-   components differ are counted, and those that meet as often as similar sets must are
-   verified.  Pairs inside a component need no look: they change no component.
-5. Verification is the prefix-tree join: the sets to be compared with one hub form a tree
-   of ordered keys, walked with the overlap so far; what lies below a node is skipped once
-   the keys that remain can't reach the needed overlap.
+   meet often are verified first; verified links give components.  In groups of up to
+   ``dense`` records the pairs whose components differ are counted, and those that meet as
+   often as similar sets must are verified.  Records of larger groups are compared within
+   the cluster that these groups span.  Pairs inside a component need no look: they change
+   no component.
+5. Verification is the prefix-tree join: the sets to be compared form a tree of ordered
+   keys, walked with the overlap so far; what lies below a node is skipped once the keys
+   that remain can't reach the needed overlap.
 
 No pair is lost: each pair of similar sets is either verified or already connected.
 """
@@ -138,24 +140,26 @@ def frequent_keys(docs: DataFrame, words: int, most: int, block: int = 1 << 22,
     return np.sort(rows["key"].to_numpy(np.int64))
 
 
-def overlap_links(probe: np.ndarray, sets: list[np.ndarray], num: int = 4, den: int = 5) -> list[bool]:
-    """For each ordered set, whether its Jaccard similarity with probe is num / den or more.
+def tree_order(sets: list[np.ndarray]) -> list[int]:
+    """Positions of sets in the order of their keys: the leaves of their prefix tree."""
+    return sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
 
-    The sets in order of their keys are the leaves of a prefix tree from left to right;
-    what two neighbours share is the path to the node where they part.  Along a path the
-    overlap with probe is kept for each depth, so shared paths are compared once.  A depth
-    is dead if even with all of probe's later keys the overlap can't suffice: with o found
-    at depth d and r keys of probe left, o + r out of a union of n + d - o.
+
+def overlap_links(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den: int = 5) -> list[bool]:
+    """For each leaf, whether its Jaccard similarity with probe is num / den or more.
+
+    leaves are ordered sets in tree order; what two neighbours share is the path to the
+    node where they part.  Along a path the overlap with probe is kept for each depth, so
+    shared paths are compared once.  A depth is dead if even with all of probe's later keys
+    the overlap can't suffice: with o found at depth d and r keys of probe left, o + r out
+    of a union of n + d - o.  Leaves below a dead node are skipped.
     """
-    found = [False] * len(sets)
+    found = [False] * len(leaves)
     n = len(probe)
-    longest = max((len(s) for s in sets), default=0)
-    path = np.zeros(longest + 1, np.int64)  # overlap by depth
-    turn = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
+    path = np.zeros(max((len(s) for s in leaves), default=0) + 1, np.int64)  # overlap by depth
     last: np.ndarray | None = None
     valid, dead = 0, None
-    for i in turn:
-        s = sets[i]
+    for i, s in enumerate(leaves):
         shared = 0
         if last is not None:
             m = min(len(s), len(last))
@@ -228,13 +232,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, chunk: int
         keys = [np.asarray(k.values) for k in table.column("keys")]
         probe = keys[ids.index(hub)]
         others = [(i, k) for i, k in zip(ids, keys, strict=True) if i != hub]
-        ok = overlap_links(probe, [k for _, k in others], num, den)
-        got = [i for (i, _), yes in zip(others, ok, strict=True) if yes]
+        turn = [others[x] for x in tree_order([k for _, k in others])]
+        ok = overlap_links(probe, [k for _, k in turn], num, den)
+        got = [i for (i, _), yes in zip(turn, ok, strict=True) if yes]
         return pa.table({"u": pa.array([hub] * len(got), pa.int64()), "v": pa.array(got, pa.int64())})
 
     return rows.groupBy("u", "c").applyInArrow(block, "u long, v long")
 
 
+def _clusters_joined(members: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = 256) -> DataFrame:
+    """Links (u, v) that connect all similar records of each cluster.
+
+    members: cluster, rid, label (the component known so far).  A cluster is dealt into
+    chunks and each pair of chunks is a block: the sets of one form a prefix tree, those
+    of the other walk it.  A record is sent once for each chunk of its cluster, not once
+    for each partner, and leaves already connected with the probe are left out.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.ceil(F.col("m") / chunk).cast("int")
+    dealt = members.join(size, "cluster").withColumn("mine", F.pmod(F.xxhash64("rid"), parts).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    sent = sent.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rid", "label")
+    rows = sent.join(sets, "rid")
+
+    def block(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        mine, ids, labels = (table.column(c).to_pylist() for c in ("mine", "rid", "label"))
+        keys = [np.asarray(k.values) for k in table.column("keys")]
+        parent = {x: x for x in labels}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        right = [x for x in range(len(ids)) if mine[x] == j]
+        right = [right[x] for x in tree_order([keys[x] for x in right])]
+        links: tuple[list[int], list[int]] = ([], [])
+        for x in range(len(ids)):
+            if mine[x] != i:
+                continue
+            own = find(labels[x])
+            leaves = [y for y in right if find(labels[y]) != own and len(keys[y]) * den >= len(keys[x]) * num and len(keys[x]) * den >= len(keys[y]) * num]
+            for y, yes in zip(leaves, overlap_links(keys[x], [keys[y] for y in leaves], num, den), strict=True):
+                if yes:
+                    links[0].append(ids[x])
+                    links[1].append(ids[y])
+                    parent[find(labels[y])] = find(labels[x])
+        return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(block, "u long, v long")
+
+
 FILTER_BITS = 1 << 25
 
 
@@ -256,7 +306,7 @@ def _digest(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_frequent: int = 1 << 18, hubs: int = 2) -> DataFrame:
+def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_frequent: int = 1 << 18, hubs: int = 1, dense: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     Texts without words are linked with nothing; null ids take part in links, and are
@@ -327,7 +377,17 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_fr
         shared = written(
             labelled.withColumns({"x": F.min("label").over(kinds), "y": F.max("label").over(kinds)}).filter("x <> y").drop("x", "y")
         )
-    a, b = shared.alias("a"), shared.alias("b")
+    # Records that meet in a crowded key are compared within the cluster such keys span;
+    # pairs that meet in no crowded key are counted.
+    sized = written(shared.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))))
+    crowded = sized.filter(F.col("k") > dense)
+    stars = crowded.withColumn("hub", F.min("rid").over(Window.partitionBy("key")))
+    span = components(stars.select(F.col("hub").alias("u"), F.col("rid").alias("v")))
+    members = crowded.groupBy("rid").agg(F.first("label").alias("label")).join(span.select(F.col("id").alias("rid"), F.col("label").alias("c")), "rid", "left")
+    joined = written(_clusters_joined(members.select(F.coalesce("c", "rid").alias("cluster"), "rid", "label"), sets, num, den))
+    links = links.unionByName(joined)
+    few = sized.filter(F.col("k") <= dense)
+    a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.label") != F.col("b.label"))
                    & (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num))
     counted = cross.groupBy(

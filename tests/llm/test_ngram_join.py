@@ -77,6 +77,15 @@ def test_few_hubs_and_no_frequent_keys_give_the_same(spark):
     assert got(spark, rows, most_frequent=1, hubs=1) == brute(rows)
 
 
+def test_crowded_keys(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(near(rng, base, rng.choice([1, 3, 5])))) for i in range(90)]
+    rows += [(1000 + i, " ".join(base[:60] + [f"q{rng.randrange(10**6)}" for _ in range(9)])) for i in range(20)]
+    assert got(spark, rows, dense=8) == brute(rows)
+    assert got(spark, rows, dense=10**6) == brute(rows)
+
+
 def test_shingles():
     for t in ("", " ", "a", "A b\tC\nd", "a b c d e", "a b c d e f A b c d e", "ü Ü é x y z", "x" * 5000, None):
         assert len(ngram_join.shingles(t)) == len(shingle_set(t))
@@ -93,7 +102,8 @@ def test_tree_walk_equals_sets():
             keep = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.12, 0.5])]
             sets.append(np.unique(np.r_[keep, rng.integers(0, 400, rng.integers(0, 9))]))
         want = [5 * len(np.intersect1d(base, s)) >= 4 * len(np.union1d(base, s)) and len(s) > 0 for s in sets]
-        assert ngram_join.overlap_links(base, sets) == want
+        turn = ngram_join.tree_order(sets)
+        assert ngram_join.overlap_links(base, [sets[i] for i in turn]) == [want[i] for i in turn]
 
 
 def test_components(spark):
