@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has the score sigmoid(b + sum of the
-weights of its words and of their beginnings, which inflected forms share); the document's is their noisy-or, 1 - prod(1 - s).  Weights are
+A document is a bag of sentences.  A sentence with known features (words and their
+beginnings, which inflected forms share) has the score sigmoid(sum of their weights - 3),
+any other 0; the document's is their noisy-or with a leak, 1 - (1 - leak) prod(1 - s).  The
+leak stands for labels that no sentence explains, and doesn't grow with a text's length.  Weights are
 learned from document labels alone by gradient descent on the log loss of the noisy-or,
 so the sentences that carry a label are found without sentence labels, and ``locate``
 returns them.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_columns, written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: What the weights of a sentence must outweigh.
+BIAS = -3.0
 #: Lengths of the word beginnings that count as features besides whole words.
 STEMS = (3, 4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -40,10 +44,10 @@ def features(words: list[str]) -> set[str]:
 
 
 class Model:
-    """Weights of features, and the bias of a sentence without any."""
+    """Weights of features, and the logit of the leak."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], leak: float):
+        self.weights, self.leak = weights, leak
         # Words that begin otherwise have no feature, as most have not.
         self.starts = {f.rstrip("$")[: STEMS[0]] for f in weights}
 
@@ -58,21 +62,19 @@ class Model:
         out = []
         for m in SENTENCE.finditer(text):
             if WORD.search(m[0]):
-                z = self.bias + sum(self.known(m[0].lower()))
-                out.append((m.start(), m.end(), 1 / (1 + math.exp(-z)) if z > -700 else 0.0))
+                hit = self.known(m[0].lower())
+                out.append((m.start(), m.end(), 1 / (1 + math.exp(-BIAS - sum(hit))) if hit else 0.0))
         return out
 
     def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences; a text without sentences has score 0."""
-        if not text:
+        """Noisy-or over the sentences; a text without words has score 0."""
+        if not text or not WORD.search(text):
             return 0.0
-        miss, base = 0.0, math.log1p(math.exp(self.bias))
+        miss = math.log1p(math.exp(self.leak))
         for part in BREAK.split(text.lower()):
             if hit := self.known(part):
-                z = self.bias + sum(hit)
+                z = BIAS + sum(hit)
                 miss += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-            elif WORD.search(part):
-                miss += base
         return -math.expm1(-miss)
 
 
@@ -93,21 +95,20 @@ def _bags(docs: DataFrame) -> DataFrame:
 
 
 def _hits(bags: DataFrame, index: dict[str, int]) -> DataFrame:
-    """doc_id, toxic, the number of sentences, and the known features' numbers of those with any."""
+    """doc_id, toxic, and the numbers of the known features of each sentence with any."""
 
     def body():
         def step(keys, labels, rows):
             hits = [[h for h in ([index[w] for w in s if w in index] for s in r) if h] for r in rows]
-            return keys, labels, [len(r) for r in rows], hits
+            return keys, labels, hits
 
         return step
 
-    return map_columns(bags, body, "doc_id long, toxic int, n int, hits array<array<int>>")
+    return map_columns(bags, body, "doc_id long, toxic int, hits array<array<int>>")
 
 
-def fit_noisy_or(sentences: list[tuple[int, list[int]]], plain: np.ndarray, labels: np.ndarray, size: int, *, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias.  sentences: (document, word numbers) of those with known words;
-    plain: how many other sentences each document has."""
+def fit_noisy_or(sentences: list[tuple[int, list[int]]], labels: np.ndarray, size: int, *, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights and the leak's logit.  sentences: (document, feature numbers)."""
     n = max(1, len(labels))
     doc = np.array([d for d, _ in sentences], dtype=np.int64)
     lengths = np.array([len(w) for _, w in sentences], dtype=np.int64)
@@ -115,20 +116,17 @@ def fit_noisy_or(sentences: list[tuple[int, list[int]]], plain: np.ndarray, labe
     row = np.repeat(np.arange(len(sentences)), lengths)
     y = labels.astype(float)
     theta = np.zeros(size + 1)
-    theta[-1] = -5.0
+    theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
-        z = b + np.bincount(row, w[word], minlength=len(sentences)) if len(sentences) else np.zeros(0)
-        soft = np.logaddexp(0, z)
-        total = np.bincount(doc, soft, minlength=len(y)) + plain * np.logaddexp(0, b)
-        total = np.maximum(total, 1e-12)
-        slope = np.where(y > 0, -1 / np.expm1(total), 1.0) / n
-        sig = 1 / (1 + np.exp(-z))
-        each = slope[doc] * sig
+        w, leak = theta[:-1], theta[-1]
+        z = BIAS + np.bincount(row, w[word], minlength=len(sentences))
+        total = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + np.logaddexp(0, leak)
+        slope = np.where(y > 0, -1 / np.expm1(np.maximum(total, 1e-12)), 1.0) / n
+        each = slope[doc] / (1 + np.exp(-z))
         grad = np.empty_like(theta)
         grad[:-1] = np.bincount(word, each[row], minlength=size) + l2 * w
-        grad[-1] = each.sum() + (slope * plain).sum() / (1 + np.exp(-b))
+        grad[-1] = slope.sum() / (1 + np.exp(-leak))
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -176,10 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
     index = {r.word: i for i, r in enumerate(chosen)}
     found = _hits(bags, index).orderBy("doc_id").collect()
     sentences = [(d, ws) for d, r in enumerate(found) for ws in r.hits]
-    plain = np.array([r.n - len(r.hits) for r in found], dtype=float)
     y = np.array([r.toxic > 0 for r in found])
-    weights, bias = fit_noisy_or(sentences, plain, y, len(index))
-    return Model({w: float(weights[i]) for w, i in index.items()}, bias)
+    weights, leak = fit_noisy_or(sentences, y, len(index))
+    return Model({w: float(weights[i]) for w, i in index.items()}, leak)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -7,12 +7,15 @@ from quarry.llm import toxicity
 def corpus(spark, n=400):
     rng = np.random.default_rng(3)
     words = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in "mnrst"]
+    words = np.array(words, dtype="<U12")
     rows, labels = [], []
     for i in range(n):
         parts = [" ".join(rng.choice(words, 6)) + "." for _ in range(5)]
         bad = i % 4 == 0
         if bad:
-            parts[int(rng.integers(5))] = "You are a " + rng.choice(["zibot", "vukking", "vukkers"]) + " indeed."
+            spot = rng.choice(words, 6)
+            spot[2] = rng.choice(["zibot", "vukking", "vukkers"])
+            parts[int(rng.integers(5))] = " ".join(spot) + "."
         rows.append((i, " ".join(parts)))
         labels.append((i, int(bad)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -32,24 +35,26 @@ def test_learns_and_locates(spark):
 def test_score_is_noisy_or(spark):
     docs, labels = corpus(spark, 200)
     model = toxicity.train(docs, labels, F.lit(True))
+    leak = 1 / (1 + np.exp(-model.leak))
     for r in docs.limit(20).collect():
         clean = np.prod([1 - s for _, _, s in model.sentence_scores(r.text)])
-        assert abs(model.score(r.text) - (1 - clean)) < 1e-9
+        assert abs(model.score(r.text) - (1 - (1 - leak) * clean)) < 1e-9
+    assert model.score("plain words. " * 50_000) < 0.1
 
 
 def test_gradient_matches_differences():
-    sentences, plain, y = [(0, [0, 1]), (0, [1]), (1, [0]), (2, [1])], np.array([1.0, 2.0, 0.0]), np.array([True, False, False])
-    w, b = toxicity.fit_noisy_or(sentences, plain, y, 2, steps=3000, l2=0.05, rate=0.02)
+    sentences, y = [(0, [0, 1]), (0, [1]), (1, [0]), (2, [1])], np.array([True, False, False, True])
+    w, leak = toxicity.fit_noisy_or(sentences, y, 2, steps=3000, l2=0.05, rate=0.02)
 
-    def loss(w, b):
-        z = np.array([b + sum(w[i] for i in ws) for _, ws in sentences])
-        s = np.bincount([d for d, _ in sentences], np.logaddexp(0, z), minlength=3) + plain * np.logaddexp(0, b)
+    def loss(w, leak):
+        z = np.array([toxicity.BIAS + sum(w[i] for i in ws) for _, ws in sentences])
+        s = np.bincount([d for d, _ in sentences], np.logaddexp(0, z), minlength=4) + np.logaddexp(0, leak)
         return np.where(y, -np.log1p(-np.exp(-s)), s).mean() + 0.025 * (w**2).sum()
 
-    best = loss(w, b)
+    best = loss(w, leak)
     for i in range(3):
         for e in (-0.05, 0.05):
-            assert loss(w + e * np.eye(3)[i][:2], b + e * (i == 2)) > best - 1e-5
+            assert loss(w + e * np.eye(3)[i][:2], leak + e * (i == 2)) > best - 1e-5
 
 
 def test_edge_rows(spark, edge, none):
