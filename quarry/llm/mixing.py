@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import unit, word_count, written
+from quarry.llm.common import join_small, unit, word_count, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0) -> DataFrame:
@@ -74,9 +74,7 @@ def mix(
         )
     )
     targets = written(source_targets(base, weights, max_repeat))
-    same = F.col("b.source").eqNullSafe(F.col("t.source"))
-    share = share_of(F.col("t.target"), F.col("t.source_size"))
-    joined = base.alias("b").join(targets.alias("t"), same).select("b.*", "t.source_size", "t.target", share.alias("r"))
+    joined = join_small(base, targets, ["source"], F.col("doc_id")).withColumn("r", share_of(F.col("target"), F.col("source_size")))
     whole = F.floor(F.col("r"))
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-9), F.col("r") - F.col("whole")))
     u = unit("doc_id", "h", seed=seed)
@@ -123,8 +121,7 @@ def _take(rows: DataFrame, left: DataFrame, most: int, bins: int) -> DataFrame:
     Only documents that fit at all and have under ``most`` copies take part, those with
     fewer extra copies first.  ``new`` marks what this call took.
     """
-    rest = left.withColumnRenamed("source", "s")
-    known = rows.drop("rest", "new").join(rest, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    known = join_small(rows.drop("rest", "new"), left, ["source"], F.col("doc_id"))
     fits = (F.col("whole") + F.col("extra") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     marked = known.withColumns({"fits": fits, "turn": F.col("extra") * bins + F.col("bin")})
     sums = marked.filter("fits").groupBy("source", F.col("turn").alias("bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -134,9 +131,9 @@ def _take(rows: DataFrame, left: DataFrame, most: int, bins: int) -> DataFrame:
         .filter("upto > rest")
         .groupBy("source")
         .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("c"))
-        .select(F.col("source").alias("s"), F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
+        .select("source", F.col("c.bin").alias("cut"), F.col("c.before").alias("before"))
     )
-    placed = marked.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    placed = join_small(marked, cut, ["source"], F.col("doc_id"), "left")
     at_edge = F.col("fits") & F.coalesce(F.col("turn") == F.col("cut"), F.lit(False))
     sure = placed.filter(~at_edge).withColumn("new", F.col("fits") & F.coalesce(F.col("turn") < F.col("cut"), F.lit(True)))
     within = Window.partitionBy("source").orderBy("rank", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
@@ -151,8 +148,7 @@ def _nearest(rows: DataFrame, left: DataFrame, most: int) -> DataFrame:
 
     Nothing is taken where the rest is nearer to the target as it is.
     """
-    rest = left.withColumnRenamed("source", "s")
-    known = rows.drop("rest", "new").join(rest, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    known = join_small(rows.drop("rest", "new"), left, ["source"], F.col("doc_id"))
     able = known.filter((F.col("whole") + F.col("extra") < most) & (F.col("size") > 0) & (F.col("size") < F.col("rest") * 2))
     best = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "extra", "rank", "doc_id", "h")).alias("b"))
     mark = best.select(F.col("source").alias("s"), F.col("b.doc_id").alias("i"), F.col("b.h").alias("k"), F.col("b.extra").alias("e"))
