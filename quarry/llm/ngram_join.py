@@ -381,8 +381,13 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_fr
     # pairs that meet in no crowded key are counted.
     sized = written(shared.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))))
     crowded = sized.filter(F.col("k") > dense)
+    # A record's edge goes to the least hub of its keys, and that hub's to the others, so
+    # there are about as many edges as records, not as rows.
     stars = crowded.withColumn("hub", F.min("rid").over(Window.partitionBy("key")))
-    span = components(stars.select(F.col("hub").alias("u"), F.col("rid").alias("v")))
+    stars = stars.withColumn("low", F.min("hub").over(Window.partitionBy("rid")))
+    spokes = stars.select(F.col("low").alias("u"), F.col("rid").alias("v")).distinct()
+    rims = stars.select(F.col("low").alias("u"), F.col("hub").alias("v")).distinct()
+    span = components(spokes.unionByName(rims))
     members = crowded.groupBy("rid").agg(F.first("label").alias("label")).join(span.select(F.col("id").alias("rid"), F.col("label").alias("c")), "rid", "left")
     joined = written(_clusters_joined(members.select(F.coalesce("c", "rid").alias("cluster"), "rid", "label"), sets, num, den))
     links = links.unionByName(joined)
