@@ -3,9 +3,10 @@
 Each document has a vector of transformed statistics: square roots of the shares of
 symbols, repeated words, repeated lines, capitals and punctuation, and the log of the
 mean word length.  For each (language, source) a minimum-covariance-determinant estimate
-is found by concentration steps: from medians and quartile ranges, the three quarters of
-the documents with the smallest distances give the next mean and covariance, and so on.
-A document whose squared Mahalanobis distance from its group's estimate exceeds ``cut``
+is found by concentration steps: from medians and quartile ranges, the half of the
+documents with the smallest distances give the next mean and covariance, and so on until
+the half stays the same.  So a group may hold nearly as much junk as good text.  A median
+distance above that of normal data scales a group's distances down.  A document whose squared Mahalanobis distance from its group's estimate exceeds ``cut``
 is rejected.
 
 Everything is DataFrame expressions.  Order statistics come from counts in fine bins, so
@@ -118,13 +119,18 @@ def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return join_small(rows, groups, ["lang", "source"], F.col("doc_id"))
 
 
-def _quantile(counted: DataFrame, by: list[str], bin_: str, q: float, name: str) -> DataFrame:
-    """The first bin of each group at which a share q of the rows is reached."""
+def _half(n: Column) -> Column:
+    """The least subset of n rows whose estimate withstands as much junk as any can."""
+    return F.least(n, F.floor((n + len(STATISTICS) + 1) / 2))
+
+
+def _quantile(counted: DataFrame, by: list[str], bin_: str, q: float | None, name: str) -> DataFrame:
+    """The first bin of each group at which a share q of the rows is reached; None: ``_half`` of them."""
     upto = Window.partitionBy(*by).orderBy(bin_)
     whole = Window.partitionBy(*by)
     return (
         counted.withColumns({"__u": F.sum("n").over(upto), "__t": F.sum("n").over(whole)})
-        .filter(F.col("__u") >= q * F.col("__t"))
+        .filter(F.col("__u") >= (_half(F.col("__t")) if q is None else q * F.col("__t")))
         .groupBy(*by)
         .agg(F.min(bin_).alias(name))
     )
@@ -186,16 +192,28 @@ def _moments(rows: DataFrame) -> DataFrame:
     return out.select("g", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
-def estimates(rows: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """The parameter table after ``steps`` concentration steps, with n and scale.
+def _settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether a step left every group's estimate as it was."""
+    old = before.withColumnsRenamed({c: f"__{c}" for c in before.columns if c != "g"})
+    moved = [F.abs(F.col(c) - F.col(f"__{c}")) for c in after.columns if c != "g"]
+    return not after.join(old, "g").filter(F.greatest(*moved) > 1e-9).limit(1).count()
+
+
+def estimates(rows: DataFrame, *, share: float | None = 0.75, steps: int = 3) -> DataFrame:
+    """The parameter table after at most ``steps`` concentration steps, with n and scale.
 
     rows: doc_id, g and the statistics of the documents that the base rule lets through.
+    A share of junk over 1 - ``share`` gets into the subset; None takes the least subset,
+    which is about one half.  Steps end when no group's estimate moves.
     """
     params = written(_start(rows))
     for _ in range(steps):
+        before = params
         near = _with_distance(rows, params).withColumn("b", _bin(F.col("d2")))
         limit = written(_quantile(near.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")), ["g"], "b", share, "limit"))
         params = written(_moments(join_small(near, limit, ["g"], F.col("doc_id")).filter("b <= limit")))
+        if _settled(before, params):
+            break
     last = _with_distance(rows, params).groupBy("g", _bin(F.col("d2")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     middle = _quantile(last, ["g"], "b", 0.5, "mid")
     size = last.groupBy("g").agg(F.sum("n").alias("n_group"))
@@ -211,7 +229,7 @@ def fit(docs: DataFrame, *, text: str = "text", min_group: int = 60) -> tuple[Da
     rows = written(statistics(counts(docs.drop(*MADE), text)).drop(text))
     groups = written(_groups(rows, min_group))
     named = _named(rows, groups)
-    params = written(estimates(written(named.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS))))
+    params = written(estimates(written(named.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS)), share=None, steps=20))
     return rows, groups, params
 
 

@@ -70,6 +70,31 @@ def test_verdicts_on_labels(spark, sf, docs):
     assert all(not r.kept for r in rows if r.quality == 0)
 
 
+def test_a_group_of_much_junk(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(400)]
+
+    def text(junk):
+        w = [str(x) for x in rng.choice(words, 90)]
+        return " ".join(x + "#$%"[i % 3] if junk and i % 4 < junk else x for i, x in enumerate(w)) + "."
+
+    # Sources with 30, 40 and 45 of 100 documents of junk, in two kinds.
+    rows = [(1000 * s + i, text(1 + i % 2 * 2 if i < n else 0), "en", f"s{s}", i < n) for s, n in enumerate((30, 40, 45)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = quality.judge(docs).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if r.kept == r.junk] == []
+
+
+def test_steps_end_when_settled(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(0.3, 0.05, (200, len(quality.STATISTICS)))
+    df = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(x)], "doc_id long, g string, " + ", ".join(f"{n} double" for n in quality.STATISTICS))
+    asked, was = [], quality._settled
+    monkeypatch.setattr(quality, "_settled", lambda a, b: asked.append(was(a, b)) or asked[-1])
+    quality.estimates(df, share=None, steps=40)
+    assert asked == [False] * (len(asked) - 1) + [True] and len(asked) < 40
+
+
 def test_edge_rows(edge, none):
     rows = quality.judge(edge).collect()
     assert len(rows) == 9 and [r.n_words for r in rows if r.doc_id == 4] == [60_000]
