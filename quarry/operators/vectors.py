@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,17 +83,34 @@ def appended(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.join(new.select("vector_id"), "vector_id", "left_anti").unionByName(checked)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosine", block: int = 4096) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosine", block: int = 4096, at_once: int = 1024) -> DataFrame:
     """query_id, vec_id, score and pos of the k best vectors for each query.
 
     Vectors stream through each task in blocks; a task multiplies a block with the query
     matrix and keeps k candidates a query, so what is shuffled is tasks * queries * k rows.
-    The queries are collected: they are a stated set, not a table that grows.  Scores are
-    rounded to 6 places and ties go by id.
+    The driver reads ``at_once`` queries at a time; where there are more, a block's hits are
+    checkpointed before the next is read.  Scores are rounded to 6 places and ties go by id.
     """
-    rows = queries.select("query_id", "embedding").collect()
+    rows = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator()
+    part, found = list(islice(rows, at_once)), None
+    while part or found is None:
+        following = list(islice(rows, at_once))
+        hits, shared = _candidates(part, vectors, k, metric, block)
+        if found is not None or following:
+            kept = hits.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else hits.localCheckpoint()
+            shared.destroy()
+            found = kept if found is None else found.unionByName(kept)
+        else:
+            found = hits
+        part = following
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+
+
+def _candidates(rows: list, vectors: DataFrame, k: int, metric: str, block: int) -> tuple[DataFrame, Broadcast]:
+    """The k best of each task for the queries in rows, and the query matrix that it uses."""
     ids = [r.query_id for r in rows]
-    q = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     if metric == "cosine":
         n = np.linalg.norm(q, axis=1)
         ids, q = [i for i, x in zip(ids, n, strict=True) if x > 0], q[n > 0] / n[n > 0, None]
@@ -118,8 +137,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosi
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "vec_id", "score"])
 
     found = vectors.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+    return found, shared
 
 
 def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, tables: int = 4, length: float = 0.5, seed: int = 0) -> DataFrame:

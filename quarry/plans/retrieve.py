@@ -19,7 +19,7 @@ def dense(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, documents
     vectors are active ones with vec_id; what is joined to chunks is only the hits.
     """
     hits = top_k(questions, vectors, s.top_k, metric="ip")
-    rows = chunks.join(F.broadcast(hits), "vec_id").join(documents.select("doc_id", "title", "url"), "doc_id")  # k rows a question
+    rows = chunks.join(hits, "vec_id").join(documents.select("doc_id", "title", "url"), "doc_id")  # k rows a question
     few = rows.withColumn("g", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("pos"))).filter(F.col("g") <= s.per_document).drop("g")
     return few.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
 

@@ -1,9 +1,11 @@
 """Each registered query against its SQL twin on DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from quarry import catalogue
+from quarry.operators import ranking
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -30,3 +32,22 @@ def test_query_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+def test_searches_without_sql_ask_every_hundredth_row(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = np.round(unit @ unit[i], 6)
+        pool = np.lexsort((ids, -score))[:15]
+        want[ids[i]] = ids[pool[ranking.mmr_order(score[pool], unit[pool], 8, 0.7)]].tolist()
+    got = {}
+    for r in catalogue.queries()["mmr_select"](spark, sf).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got == want and len(want) > 1
+    asked = {r.query_id for r in catalogue.queries()["dense_retrieval_context"](spark, sf).select("query_id").collect()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    ip = np.round(x @ x.T, 6)
+    assert asked == {ids[i] for i in np.flatnonzero(ids % 100 == 0) if docs & set(ids[np.lexsort((ids, -ip[i]))[:15]].tolist())}

@@ -56,6 +56,16 @@ def test_top_k_zero_vectors(spark):
     assert [tuple(r) for r in vectors.top_k(q, v, 2).orderBy("pos").collect()] == [(1, 2, 1.0, 1), (1, 3, 1.0, 2)]
 
 
+def test_top_k_in_blocks_of_queries(spark):
+    x = np.random.default_rng(2).normal(size=(50, 8)).astype(np.float32)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r.pos): r.vec_id for r in vectors.top_k(q, v, 4, metric="ip", at_once=3).collect()}
+    best = np.argsort(-(x[:7].astype(np.float64) @ x.T.astype(np.float64)), axis=1, kind="stable")[:, :4]
+    assert got == {(i, j + 1): best[i, j] for i in range(7) for j in range(4)}
+    assert vectors.top_k(q.limit(0), v, 4).count() == 0
+
+
 def test_context_budget(spark):
     rows = [(1, i, "x" * 30) for i in range(1, 6)]
     got = ranking.context_lines(spark.createDataFrame(rows, "query_id int, pos int, line string"), 100).orderBy("pos").collect()
