@@ -8,9 +8,10 @@ probability f ** probes; the counts are corrected for that, and the language wit
 corrected hits wins.  The score is its share of all corrected hits.
 
 An n-gram is in a language's filter if at least ``min_docs`` of its documents hold it and
-its rate there is at least ``ratio`` of its highest rate in any language.  Training reads at
-most ``sample`` labelled documents (those with the lowest hash of doc_id; whole texts) and
-keeps at most ``grams`` n-grams, so the table has a fixed size.
+its rate there is at least ``ratio`` of its highest rate in any language.  Training reads all
+labelled documents of a language with up to ``sample``, and about ``sample`` of another (those
+with a low hash of doc_id; whole texts).  A filter keeps at most ``grams`` n-grams, those with the
+highest rates, so the table has a fixed size and languages don't crowd each other out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_columns, written
+from quarry.llm.common import map_columns, unit, written
 
 UNKNOWN = "und"
 LENGTHS = (2, 3, 4)
@@ -122,9 +123,9 @@ def build(grams: dict[str, np.ndarray], slots: int = 1 << 19, probes: int = 3, u
 def train(docs: DataFrame, usable: Column, *, sample: int = 8_000, grams: int = 60_000, min_docs: int = 2, ratio: float = 0.3) -> Filters:
     """Filters from documents with a language for which ``usable`` (over doc_id) holds."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & usable)
-    ids = labelled.select("doc_id", "lang").orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id", "lang").limit(sample).distinct()
-    # At most ``sample`` ids are broadcast.
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    known = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("known")))
+    # One row for each language is broadcast.
+    rows = labelled.join(F.broadcast(known), "lang").filter(unit("doc_id", seed=4) * F.col("known") <= sample)
 
     def body():
         def step(langs, texts):
@@ -147,17 +148,14 @@ def train(docs: DataFrame, usable: Column, *, sample: int = 8_000, grams: int =
     sizes = sums.filter("gram is null").select("lang", F.col("n").alias("docs"))
     rated = sums.filter(F.col("gram").isNotNull() & (F.col("n") >= min_docs)).join(sizes, "lang").withColumn("rate", F.col("n") / F.col("docs"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("all"))
-    kept = (
-        best.orderBy(F.col("most").desc(), "gram")
-        .limit(grams)
-        .select("gram", F.transform(F.filter("all", lambda x: x["rate"] >= ratio * F.col("most")), lambda x: x["lang"]).alias("langs"))
-        .collect()
-    )
+    kept = written(best.select("gram", "most", F.explode("all").alias("x")).filter(F.col("x.rate") >= ratio * F.col("most")).select("gram", "x.*"))
+    # The commonest language in the whole table; samples don't tell.
+    most = sorted((-n, lang) for lang, n in known.collect())
     by: dict[str, list[int]] = {}
-    for r in kept:
-        for lang in r.langs:
-            by.setdefault(lang, []).append(r.gram)
-    most = sorted((-n, lang) for lang, n in sizes.collect())
+    for lang in sorted(x for _, x in most):
+        own = kept.filter(F.col("lang") == lang).orderBy(F.col("rate").desc(), "gram").limit(grams).select("gram").collect()
+        if own:
+            by[lang] = [r.gram for r in own]
     return build({k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()}, usual=most[0][1] if most else None)
 
 

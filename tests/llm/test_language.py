@@ -32,6 +32,17 @@ def test_held_out(spark, sf, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    words = {k: ["".join(rng.choice(list(a), 5)) for _ in range(60)] for k, a in (("aa", "abcdefgh"), ("zz", "stuvwxyz"))}
+    rows = [(i, " ".join(rng.choice(words[k], 12)), k) for i, k in enumerate(["aa"] * 1990 + ["zz"] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (60_000, 200):
+        f = language.train(docs, F.lit(True), sample=100, grams=most)
+        got = language.predict(docs.filter("lang = 'zz' OR doc_id < 10"), f).collect()
+        assert len(got) == 20 and all(r.lang_pred == ("zz" if r.doc_id >= 1990 else "aa") for r in got)
+
+
 def test_edge_rows(edge, none):
     f = language.train(edge, F.lit(True))
     got = {r.doc_id: r.lang_pred for r in language.predict(edge, f).collect()}
