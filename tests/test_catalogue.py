@@ -6,6 +6,7 @@ import pytest
 
 from quarry import catalogue
 from quarry.operators import ranking
+from quarry.plans import retrieve
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -51,3 +52,10 @@ def test_searches_without_sql_ask_every_hundredth_row(spark, sf):
     docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     ip = np.round(x @ x.T, 6)
     assert asked == {ids[i] for i in np.flatnonzero(ids % 100 == 0) if docs & set(ids[np.lexsort((ids, -ip[i]))[:15]].tolist())}
+
+
+def test_hybrid_embeds_whole_passages(spark, sf, monkeypatch):
+    asked, was = [], retrieve.embed
+    monkeypatch.setattr(retrieve, "embed", lambda *a, **k: asked.append(k.get("most")) or was(*a, **k))
+    catalogue.queries()["hybrid_two_stage"](spark, sf)
+    assert asked == [None, None]
