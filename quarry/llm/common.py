@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,31 +15,59 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch that goes to or comes from a Python worker; a row is never cut.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context.
+
+    Without one there is no place that every executor reads, so none is made up.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or tempfile.mkdtemp(prefix="quarry-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES`` or one row, not 10,000 rows of any length.
+
+    It is a setting of the session, since no operator takes one; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what came
-    before, and later passes read only the columns they need.  The files go when the
-    application ends.
+    before, and later passes read only the columns they need.  The files go when
+    ``released`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Delete what ``written`` has written for frames that nothing reads any more."""
+    for df in frames:
+        place, files = _place(df.sparkSession, df._quarry_path)
+        files.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def bind(value: Column, body) -> Column:
@@ -70,7 +97,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_columns(df: DataFrame, body, schema: str, rows: int = 512) -> DataFrame:
-    """Apply body to slices of at most ``rows`` rows of df, through Arrow.
+    """Apply body to slices of at most ``rows`` rows of df, and about BATCH_BYTES, through Arrow.
 
     body() is called once a partition and gives a function from columns (lists) to
     columns of ``schema``, so its state lives as long as the partition's task.
@@ -88,6 +115,7 @@ def map_columns(df: DataFrame, body, schema: str, rows: int = 512) -> DataFrame:
                     [pa.array(v, kind.type) for v, kind in zip(out, kinds, strict=True)], schema=kinds
                 )
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, made)
 
 

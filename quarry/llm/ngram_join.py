@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_columns, written
+from quarry.llm.common import bounded_batches, map_columns, released, written
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +134,7 @@ def frequent_keys(docs: DataFrame, words: int, most: int, block: int = 1 << 22,
                     held, size = [], 0
         yield counted()
 
+    bounded_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # At most ``most`` numbers reach the driver.
     rows = counts.orderBy(F.col("n").desc(), "key").limit(most).select("key").toPandas()

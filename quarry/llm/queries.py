@@ -34,7 +34,7 @@ def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     filters = language.train(docs, remainder(4) != 2)
     out = language.predict(docs, filters)
-    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,17 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def held_out(n: int, rest: int) -> Column:
+    """Whether remainder(n) is rest; a null doc_id has none."""
+    return F.coalesce(remainder(n) == rest, F.lit(False)).alias("held_out")
+
+
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, remainder(5) != 0)
     return toxicity.score(docs, model).select(
-        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 

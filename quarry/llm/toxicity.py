@@ -10,21 +10,29 @@ returns them.
 
 Training reads at most ``sample`` labelled documents (those with the lowest hash of
 doc_id; whole texts) and keeps at most ``vocabulary`` features: those whose rates in toxic
-and other documents differ most.  The model is a few thousand numbers.  Scoring streams
-over all documents and needs no shuffle.
+and other documents differ most.  Sentences of a document with the same known features
+count together, and at most ``instances`` such kinds of a document reach the driver, the
+commonest first.  The model is a few thousand numbers.  Scoring streams over all documents
+and needs no shuffle.
+
+Null labels are no labels; a document whose rows differ in text learns from the least
+text, so reruns agree.  Null, empty and wordless texts have score 0; a text of any length
+is scored whole, and equal texts alike.  An empty table gives an empty result, and without
+labels every score is close to 0.  Other columns are kept by ``keep`` and unused elsewhere.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_columns, written
+from quarry.llm.common import bounded_batches, map_columns, released, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What the weights of a sentence must outweigh.
@@ -78,41 +86,69 @@ class Model:
         return -math.expm1(-miss)
 
 
-def _bags(docs: DataFrame) -> DataFrame:
-    """doc_id, toxic, and for each sentence its features."""
+def _parts(text: str) -> list[set[str]]:
+    """The features of each sentence with a word."""
+    return [features(w) for p in BREAK.split(text.lower()) if (w := WORD.findall(p))]
 
-    def body():
-        def step(keys, labels, texts):
-            bags = []
-            for t in texts:
-                parts = (sorted(features(WORD.findall(p))) for p in BREAK.split((t or "").lower()))
-                bags.append([p for p in parts if p])
-            return keys, labels, bags
 
-        return step
+def _counted(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """word, pos and all: in how many documents, and toxic ones, a feature occurs.
 
-    return map_columns(docs.select("doc_id", "toxic", "text"), body, "doc_id long, toxic int, bags array<array<string>>")
+    Counts are summed in the tasks before they are shuffled; a task holds about ``most``.
+    """
+
+    def run(batches):
+        held: dict[str, list[int]] = {}
 
+        def counts():
+            cols = [list(held), *([v[i] for v in held.values()] for i in (0, 1))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["word", "pos", "all"])
 
-def _hits(bags: DataFrame, index: dict[str, int]) -> DataFrame:
-    """doc_id, toxic, and the numbers of the known features of each sentence with any."""
+        for batch in batches:
+            for toxic, text in zip(batch.column(0), batch.column(1), strict=True):
+                one = int(toxic.as_py() > 0)
+                for w in set().union(*_parts(text.as_py() or "")):
+                    n = held.setdefault(w, [0, 0])
+                    n[0] += one
+                    n[1] += 1
+                if len(held) >= most:
+                    yield counts()
+        yield counts()
+
+    bounded_batches(docs.sparkSession)
+    made = docs.select("toxic", "text").mapInArrow(run, "word string, pos long, all long")
+    return made.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
+
+
+def _hits(docs: DataFrame, index: dict[str, int], instances: int) -> DataFrame:
+    """doc_id, toxic, kinds of sentences (numbers of the known features) and how many are of each."""
 
     def body():
-        def step(keys, labels, rows):
-            hits = [[h for h in ([index[w] for w in s if w in index] for s in r) if h] for r in rows]
-            return keys, labels, hits
+        def step(keys, labels, texts):
+            kinds, times = [], []
+            for t in texts:
+                found = Counter(h for p in _parts(t or "") if (h := tuple(sorted(index[w] for w in p & index.keys()))))
+                most = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:instances]
+                kinds.append([k for k, _ in most])
+                times.append([n for _, n in most])
+            return keys, labels, kinds, times
 
         return step
 
-    return map_columns(bags, body, "doc_id long, toxic int, hits array<array<int>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_columns(docs.select("doc_id", "toxic", "text"), body, f"doc_id {kind}, toxic int, kinds array<array<int>>, times array<int>")
 
 
-def fit_noisy_or(sentences: list[tuple[int, list[int]]], labels: np.ndarray, size: int, *, steps: int = 600, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and the leak's logit.  sentences: (document, feature numbers)."""
+def fit_noisy_or(
+    sentences: list[tuple[int, list[int]]], labels: np.ndarray, size: int, *, times: list[int] | None = None, steps: int = 600, rate: float = 0.1, l2: float = 2e-5
+) -> tuple[np.ndarray, float]:
+    """Weights and the leak's logit.  sentences: (document, feature numbers); times: how many such."""
     n = max(1, len(labels))
     doc = np.array([d for d, _ in sentences], dtype=np.int64)
     lengths = np.array([len(w) for _, w in sentences], dtype=np.int64)
     word = np.array([w for _, ws in sentences for w in ws], dtype=np.int64)
+    times = np.ones(len(sentences)) if times is None else np.array(times, dtype=float)
     row = np.repeat(np.arange(len(sentences)), lengths)
     y = labels.astype(float)
     theta = np.zeros(size + 1)
@@ -121,9 +157,9 @@ def fit_noisy_or(sentences: list[tuple[int, list[int]]], labels: np.ndarray, siz
     for t in range(1, steps + 1):
         w, leak = theta[:-1], theta[-1]
         z = BIAS + np.bincount(row, w[word], minlength=len(sentences))
-        total = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + np.logaddexp(0, leak)
+        total = np.bincount(doc, times * np.logaddexp(0, z), minlength=len(y)) + np.logaddexp(0, leak)
         slope = np.where(y > 0, -1 / np.expm1(np.maximum(total, 1e-12)), 1.0) / n
-        each = slope[doc] / (1 + np.exp(-z))
+        each = times * slope[doc] / (1 + np.exp(-z))
         grad = np.empty_like(theta)
         grad[:-1] = np.bincount(word, each[row], minlength=size) + l2 * w
         grad[-1] = slope.sum() / (1 + np.exp(-leak))
@@ -133,7 +169,9 @@ def fit_noisy_or(sentences: list[tuple[int, list[int]]], labels: np.ndarray, siz
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 10_000, vocabulary: int = 2_000, min_docs: int = 4, least_z: float = 5.0) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 10_000, vocabulary: int = 2_000, instances: int = 1_000, min_docs: int = 4, least_z: float = 5.0
+) -> Model:
     """A model from the labelled documents for which ``usable`` (over doc_id) holds.
 
     Null labels and null ids are left out; of several labels of a document the largest
@@ -147,15 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
         .limit(sample)
     )
     # At most ``sample`` rows of two numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    bags = written(_bags(rows))
-    positive = F.col("toxic") > 0
-    counts = (
-        bags.select("doc_id", "toxic", F.explode(F.array_distinct(F.flatten("bags"))).alias("word"))
-        .groupBy("word")
-        .agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("all"))
-    )
-    both = bags.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(positive, 1).otherwise(0)).alias("p")).first()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
+    both = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p")).first()
     n, p = both.n, both.p or 0
     if not n:
         return Model({}, -10.0)
@@ -164,18 +196,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
     expected = F.col("all") * F.lit(rate)
     spread = F.sqrt(F.col("all") * F.lit(max(rate * (1 - rate), 1e-9)))
     chosen = (
-        counts.filter(F.col("all") >= min_docs)
+        _counted(rows).filter(F.col("all") >= min_docs)
         .withColumn("z", (F.col("pos") - expected) / spread)
         .filter(F.col("z") >= least_z)
         .orderBy(F.col("z").desc(), "word")
         .limit(vocabulary)
         .collect()
-    )
+    )
     index = {r.word: i for i, r in enumerate(chosen)}
-    found = _hits(bags, index).orderBy("doc_id").collect()
-    sentences = [(d, ws) for d, r in enumerate(found) for ws in r.hits]
+    # At most ``sample`` times ``instances`` short lists reach the driver.
+    found = _hits(rows, index, instances).orderBy("doc_id").collect()
+    released(rows)
+    sentences = [(d, ws) for d, r in enumerate(found) for ws in r.kinds]
     y = np.array([r.toxic > 0 for r in found])
-    weights, leak = fit_noisy_or(sentences, y, len(index))
+    weights, leak = fit_noisy_or(sentences, y, len(index), times=[k for r in found for k in r.times])
     return Model({w: float(weights[i]) for w, i in index.items()}, leak)
 
 
@@ -192,6 +226,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 def keep(docs: DataFrame, model: Model, most: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs whose score is below ``most``, with all their columns."""
     at = docs.columns.index(text)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
