@@ -12,30 +12,39 @@ smaller one's keys, so they meet in the leading keys of both.
    fixed point of the key space.  Equal sets are joined to one record.
 3. Leading keys that two records share form groups.  A record that shares too few of its
    keys below the fixed point to be similar to anything is dropped; this needs counts only.
-4. In each group the record of lowest hash is the hub, and pairs of a hub and a member that
-   meet often are verified first; verified links give components.  In groups of up to
-   ``dense`` records the pairs whose components differ are counted, and those that meet as
-   often as similar sets must are verified.  Records of larger groups are compared within
-   the cluster that these groups span.  Pairs inside a component need no look: they change
-   no component.
-5. Verification is the prefix-tree join: the sets to be compared form a tree of ordered
+4. In each group the record with the least share of keys of its own is the hub: the text
+   that a cluster's near copies were made from, or one close to it.  Hubs and the members
+   that meet them often are verified first; verified links give components.
+5. What is left are groups whose components differ.  In groups of up to ``dense`` records
+   pairs of different components are counted, and those that meet as often as similar sets
+   must are verified.  Larger groups span clusters, in which the records outside the
+   largest component are compared with all others.  Pairs inside a component need no look:
+   they change no component.  From here on components are the nodes, and a task passes on
+   a forest of them, so there are about as many links as components.
+6. Verification is the prefix-tree join: the sets to be compared form a tree of ordered
    keys, walked with the overlap so far; what lies below a node is skipped once the keys
    that remain can't reach the needed overlap.
 
-No pair is lost: each pair of similar sets is either verified or already connected.
+No pair is lost: each pair of similar sets is either verified or already connected.  Keys
+and digests are hashes: two different 5-word sequences of a document pair agree by chance
+with probability 2^-62, and two different sets are taken for equal with 2^-64.
+
+A key that is common enough to hold a great part of the records is among the frequent ones.
+Groups of these are counted before the shuffle and their counts broadcast (``most_frequent``
+rows at most); windows see other keys only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, map_columns, released, written
+from quarry.llm.common import SPACE_CHARS, bounded_batches, map_columns, released, written
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -146,21 +155,23 @@ def tree_order(sets: list[np.ndarray]) -> list[int]:
     return sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
 
 
-def overlap_links(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den: int = 5) -> list[bool]:
-    """For each leaf, whether its Jaccard similarity with probe is num / den or more.
+def similar_leaves(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den: int = 5, skip: Callable[[int], bool] | None = None) -> Iterator[int]:
+    """Positions of the leaves whose Jaccard similarity with probe is num / den or more.
 
     leaves are ordered sets in tree order; what two neighbours share is the path to the
     node where they part.  Along a path the overlap with probe is kept for each depth, so
     shared paths are compared once.  A depth is dead if even with all of probe's later keys
     the overlap can't suffice: with o found at depth d and r keys of probe left, o + r out
-    of a union of n + d - o.  Leaves below a dead node are skipped.
+    of a union of n + d - o.  Leaves below a dead node are skipped, and those for which
+    ``skip`` holds when their turn comes.
     """
-    found = [False] * len(leaves)
     n = len(probe)
     path = np.zeros(max((len(s) for s in leaves), default=0) + 1, np.int64)  # overlap by depth
     last: np.ndarray | None = None
     valid, dead = 0, None
     for i, s in enumerate(leaves):
+        if skip and skip(i):
+            continue
         shared = 0
         if last is not None:
             m = min(len(s), len(last))
@@ -188,8 +199,14 @@ def overlap_links(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den
         valid = at
         if dead is None:
             o = int(path[len(s)])
-            found[i] = den * o >= num * (n + len(s) - o) and n > 0 and len(s) > 0
-    return found
+            if den * o >= num * (n + len(s) - o) and n > 0 and len(s) > 0:
+                yield i
+
+
+def overlap_links(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den: int = 5) -> list[bool]:
+    """For each leaf, whether ``similar_leaves`` has it."""
+    found = set(similar_leaves(probe, leaves, num, den))
+    return [i in found for i in range(len(leaves))]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -242,48 +259,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, chunk: int
 
 
 def _clusters_joined(members: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = 256) -> DataFrame:
-    """Links (u, v) that connect all similar records of each cluster.
-
-    members: cluster, rid, label (the component known so far).  A cluster is dealt into
-    chunks and each pair of chunks is a block: the sets of one form a prefix tree, those
-    of the other walk it.  A record is sent once for each chunk of its cluster, not once
-    for each partner, and leaves already connected with the probe are left out.
+    """Links (u, v) of components, by which all similar records of each cluster are connected.
+
+    members: cluster, rid, label (the component known so far), most (the keys that a record
+    can share at most).  The records of the cluster's largest component and the others are
+    dealt into chunks, and each pair of chunks, but for two of the largest component, is a
+    block: the sets of one form a prefix tree, those of the other walk it.  A record is sent
+    once for each block, not once for each partner.  Leaves connected with the probe, also by
+    links found in the block, are left out, so a block gives a forest.
     """
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / chunk).cast("int")
-    dealt = members.join(size, "cluster").withColumn("mine", F.pmod(F.xxhash64("rid"), parts).cast("int"))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    sent = sent.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rid", "label")
+    counted = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    size = counted.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+    size = size.select(
+        "cluster", F.col("top.label").alias("main"),
+        F.ceil((F.col("m") - F.col("top.c")) / chunk).cast("int").alias("rest"), F.ceil(F.col("top.c") / chunk).cast("int").alias("kept"),
+    ).filter("rest > 0")
+    dealt = members.join(size, "cluster")
+    turn = F.xxhash64("rid")
+    outside = F.col("label") != F.col("main")
+    mine = F.when(outside, F.pmod(turn, F.col("rest"))).otherwise(F.col("rest") + F.pmod(turn, F.col("kept"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("rest") - 1 + F.when(outside, F.col("kept")).otherwise(0))
+    sent = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
+    sent = sent.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rid", "label", "most")
     rows = sent.join(sets, "rid")
 
     def block(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        mine, ids, labels = (table.column(c).to_pylist() for c in ("mine", "rid", "label"))
+        mine, most, labels = (np.asarray(table.column(c)) for c in ("mine", "most", "label"))
         keys = [np.asarray(k.values) for k in table.column("keys")]
-        parent = {x: x for x in labels}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        right = [x for x in range(len(ids)) if mine[x] == j]
-        right = [right[x] for x in tree_order([keys[x] for x in right])]
+        size = np.array([len(k) for k in keys])
+        names, label = np.unique(labels, return_inverse=True)
+        root = np.arange(len(names))  # the component of each label, kept flat
+        right = np.flatnonzero(mine == j)
+        right = right[tree_order([keys[x] for x in right])]
         links: tuple[list[int], list[int]] = ([], [])
-        for x in range(len(ids)):
-            if mine[x] != i:
-                continue
-            own = find(labels[x])
-            leaves = [y for y in right if find(labels[y]) != own and len(keys[y]) * den >= len(keys[x]) * num and len(keys[x]) * den >= len(keys[y]) * num]
-            for y, yes in zip(leaves, overlap_links(keys[x], [keys[y] for y in leaves], num, den), strict=True):
-                if yes:
-                    links[0].append(ids[x])
-                    links[1].append(ids[y])
-                    parent[find(labels[y])] = find(labels[x])
+        for x in np.flatnonzero(mine == i):
+            # Similar sets share at least num / (num + den) of both sizes.
+            able = num * (size[right] + size[x]) <= (num + den) * np.minimum(most[right], most[x])
+            leaves = right[able & (root[label[right]] != root[label[x]])]
+            for y in similar_leaves(keys[x], [keys[y] for y in leaves], num, den, lambda k: root[label[leaves[k]]] == root[label[x]]):
+                a, b = label[x], label[leaves[y]]
+                root[root == root[b]] = root[a]
+                links[0].append(int(names[a]))
+                links[1].append(int(names[b]))
         return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(block, "u long, v long")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(block, "u long, v long").distinct()
 
 
 FILTER_BITS = 1 << 25
@@ -307,109 +328,139 @@ def _digest(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_frequent: int = 1 << 18, hubs: int = 1, dense: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+def _linked(docs: DataFrame, words: int, num: int, den: int, most_frequent: int, hubs: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, rid of each row; rid, label of each record): records of one label are a component.
 
-    Texts without words are linked with nothing; null ids take part in links, and are
-    never the least of a component unless all are null.  Repeated rows stay.
+    h is a hash of the text and rid the set's digest, null for texts without words.
     """
-    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_keys(docs, words, most_frequent))
 
     def body():
-        def step(ids, texts):
-            out = (ids, [], [], [], [])
+        def step(ids, texts, hashes):
+            out = (ids, hashes, [], [], [], [])
             for t in texts:
                 plain = shingles(t, words)
                 keys = order(plain, frequent.value)
-                head, low = leading(keys, num, den)
-                for c, v in zip(out[1:], (len(keys), low, _digest(plain) if len(keys) else None, head), strict=True):
+                lead, low = leading(keys, num, den)
+                for c, v in zip(out[2:], (len(keys), low, _digest(plain) if len(keys) else None, lead), strict=True):
                     c.append(v)
             return out
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = written(map_columns(docs, body, f"doc_id {kind}, n int, low int, rid long, head array<long>"))
-    real = made.filter("rid is not null")
+    rows = docs.select("doc_id", "text", F.xxhash64("text"))
+    made = written(map_columns(rows, body, f"doc_id {kind}, h long, n int, low int, rid long, head array<long>"))
     records = written(
-        real.groupBy("rid").agg(
+        made.filter("rid is not null").groupBy("rid").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("head").alias("head")
         )
     )
-    facts = records.select("rid", "n", "low")
+    facts = records.select("rid", "n", "low", F.size("head").alias("size"))
 
     # Groups: the records of each leading key that more than one record has.
     shared = _shared(records.select(F.explode("head").alias("key"), "rid")).join(facts, "rid")
     # A similar pair meets in all but a fifth of the larger set, at the least.
     spare = 1 - num / den
+    below = F.sum((F.col("key") < _POINT).cast("int"))
     for _ in range(2):
-        enough = (
-            shared.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), F.first("low").alias("low"), F.first("n").alias("n"))
-            .filter(F.col("s") >= F.col("low") - F.floor(F.col("n") * spare + 1e-9))
-            .select("rid")
-        )
-        shared = _shared(shared.join(enough, "rid", "left_semi"))
-
-    wanted = records.join(shared.select("rid").distinct(), "rid", "left_semi")
+        before = shared
+        meets = shared.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), below.alias("b"), F.first("low").alias("low"), F.first("n").alias("n"), F.first("size").alias("size"))
+        enough = meets.filter(F.col("b") >= F.col("low") - F.floor(F.col("n") * spare + 1e-9))
+        # most: the keys that the record can share; odd: its share of leading keys that none has.
+        enough = enough.select("rid", (F.col("n") - F.col("low") + F.col("b")).cast("int").alias("most"), ((F.col("size") - F.col("s")) / F.col("n")).alias("odd"))
+        shared = _shared(shared.drop("most", "odd").join(enough, "rid"))
+        if hasattr(before, "_quarry_path"):
+            released(before)
+
+    wanted = records.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", "least")
     bits = spark.sparkContext.broadcast(_filter(wanted.select("least"), "least"))
     sets = _sets(docs, bits, frequent, words).join(wanted.select("rid"), "rid", "left_semi")
     # Repeated rows made the same set more than once.
     sets = written(sets.groupBy("rid").agg(F.first("keys").alias("keys")))
 
-    near = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-    links = None
+    # Hubs: a link from a record leads to a record that its cluster is made of.
+    label = None
     for k in range(hubs):
-        turn = F.xxhash64(F.lit(k), "rid")
-        group = Window.partitionBy("key")
-        best = F.min(F.struct(turn.alias("t"), F.col("rid").alias("hub"), F.col("n").alias("m"))).over(group)
-        stars = shared.withColumn("best", best).select("rid", "n", F.col("best.hub").alias("hub"), F.col("best.m").alias("m")).filter("rid <> hub")
-        often = stars.filter(near).groupBy("hub", "rid", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+        odd = F.col("odd") if k == 0 else F.lit(0.0)
+        hub = F.min(F.struct(odd.alias("o"), F.xxhash64(F.lit(k), "rid").alias("t"), F.col("rid").alias("hub"), F.col("n").alias("m"), F.col("most").alias("k")))
+        stars = _grouped(shared, hub=hub).filter("rid <> hub.hub")
+        stars = stars.select("rid", "n", "most", F.col("hub.hub").alias("hub"), F.col("hub.m").alias("m"), F.col("hub.k").alias("k"))
+        stars = stars.filter((F.col("n") + F.col("m")) * num <= F.least("most", "k") * (num + den))
+        often = stars.groupBy("hub", "rid", "n", "m").agg(F.count(F.lit(1)).alias("c"))
         often = often.filter(F.col("c") >= F.least("n", "m") * (LEAD - 1 / 9) / 2)
-        pairs = often.select(F.col("hub").alias("u"), F.col("rid").alias("v"))
-        good = written(_verified(pairs, sets, num, den))
-        links = good if links is None else links.unionByName(good)
-        label = components(links)
+        good = _verified(often.select(F.col("hub").alias("u"), F.col("rid").alias("v")), sets, num, den)
+        label = components(good) if label is None else _merged(label, components(_named(good, label)))
         # What is left: groups in which components differ.
-        labelled = shared.drop("label").join(label.select(F.col("id").alias("rid"), F.col("label").alias("l")), "rid", "left")
-        labelled = labelled.withColumn("label", F.coalesce("l", "rid")).drop("l")
-        kinds = Window.partitionBy("key")
-        shared = written(
-            labelled.withColumns({"x": F.min("label").over(kinds), "y": F.max("label").over(kinds)}).filter("x <> y").drop("x", "y")
-        )
-    # Records that meet in a crowded key are compared within the cluster such keys span;
-    # pairs that meet in no crowded key are counted.
-    sized = written(shared.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))))
-    crowded = sized.filter(F.col("k") > dense)
+        before, shared = shared, written(_open(shared, label))
+        released(before)
+    # Records that meet in a crowded key are compared within the cluster such keys span.
+    sized = written(_grouped(shared, k=F.count(F.lit(1)), low_rid=F.min("rid")))
+    crowded = sized.filter(F.col("k") > dense).select("rid", "label", "most", F.col("low_rid").alias("hub"))
     # A record's edge goes to the least hub of its keys, and that hub's to the others, so
     # there are about as many edges as records, not as rows.
-    stars = crowded.withColumn("hub", F.min("rid").over(Window.partitionBy("key")))
-    stars = stars.withColumn("low", F.min("hub").over(Window.partitionBy("rid")))
-    spokes = stars.select(F.col("low").alias("u"), F.col("rid").alias("v")).distinct()
-    rims = stars.select(F.col("low").alias("u"), F.col("hub").alias("v")).distinct()
+    own = crowded.groupBy("rid").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs"), F.first("label").alias("label"), F.first("most").alias("most"))
+    own = written(own)
+    spokes = own.select(F.col("low").alias("u"), F.col("rid").alias("v"))
+    rims = own.select(F.col("low").alias("u"), F.explode("hubs").alias("v")).distinct()
     span = components(spokes.unionByName(rims))
-    members = crowded.groupBy("rid").agg(F.first("label").alias("label")).join(span.select(F.col("id").alias("rid"), F.col("label").alias("c")), "rid", "left")
-    joined = written(_clusters_joined(members.select(F.coalesce("c", "rid").alias("cluster"), "rid", "label"), sets, num, den))
-    links = links.unionByName(joined)
-    few = sized.filter(F.col("k") <= dense)
+    members = own.join(span.select(F.col("id").alias("rid"), F.col("label").alias("c")), "rid", "left")
+    joined = _clusters_joined(members.select(F.coalesce("c", "rid").alias("cluster"), "rid", "label", "most"), sets, num, den)
+    label = _merged(label, components(joined))
+
+    # Pairs that meet in no crowded key are counted, by what is connected now.
+    few = _open(sized.filter(F.col("k") <= dense).drop("k", "low_rid", "label"), label)
     a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.label") != F.col("b.label"))
-                   & (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num))
-    counted = cross.groupBy(
-        F.col("a.rid").alias("u"), F.col("b.rid").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.low").alias("p"), F.col("b.low").alias("q")
-    ).agg(F.count(F.lit(1)).alias("c"))
+                   & ((F.col("a.n") + F.col("b.n")) * num <= F.least("a.most", "b.most") * (num + den)))
+    named = [F.col(f"{x}.{c}").alias(y) for x, ys in (("a", "unpl"), ("b", "vmqr")) for c, y in zip(("rid", "n", "low", "label"), ys, strict=True)]
+    counted = cross.select(*named).groupBy("u", "v", "n", "m", "p", "q", "l", "r").agg(F.count(F.lit(1)).alias("c"))
     # Similar sets of sizes n and m share at least num * (n + m) / (num + den) keys.
     both = F.ceil((F.col("n") + F.col("m")) * num / (num + den) - 1e-9)
     possible = (F.col("c") >= F.col("p") - (F.col("n") - both)) & (F.col("c") >= F.col("q") - (F.col("m") - both))
-    rest = _verified(counted.filter(possible).select("u", "v"), sets, num, den)
-    label = components(links.unionByName(written(rest)))
-
-    # The least document of each component, then of each document.
-    of = records.select("rid", "least").join(label.withColumnRenamed("id", "rid"), "rid", "left")
-    of = of.withColumn("label", F.coalesce("label", "rid"))
-    lowest = of.groupBy("label").agg(F.min("least").alias("component"))
-    final = of.join(lowest, "label").select("rid", "component")
+    pairs = written(counted.filter(possible).select("u", "v", "l", "r"))
+    rest = _verified(pairs.select("u", "v"), sets, num, den).join(pairs, ["u", "v"])
+    label = _merged(label, components(rest.select(F.col("l").alias("u"), F.col("r").alias("v"))))
+    of = records.select("rid").join(label.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"))
+    return made.select("doc_id", "h", "n", "rid"), of
+
+
+def _named(links: DataFrame, label: DataFrame) -> DataFrame:
+    """links (u, v) of records as links of their components."""
+    for c in ("u", "v"):
+        links = links.join(label.select(F.col("id").alias(c), F.col("label").alias("__l")), c, "left").withColumn(c, F.coalesce("__l", c)).drop("__l")
+    return links.select("u", "v")
+
+
+def _merged(label: DataFrame, later: DataFrame) -> DataFrame:
+    """id, label after the components of labels (later) have been joined, too."""
+    later = written(later)
+    next_ = later.select(F.col("id").alias("label"), F.col("label").alias("__to"))
+    moved = label.join(next_, "label", "left").select("id", F.coalesce("__to", "label").alias("label"))
+    return written(moved.unionByName(later))
+
+
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with label, without the groups (keys) that lie in one component."""
+    named = rows.join(label.select(F.col("id").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    named = written(named)
+    return _grouped(named, x=F.min("label"), y=F.max("label")).filter("x <> y").drop("x", "y")
+
+
+def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_frequent: int = 1 << 18, hubs: int = 1, dense: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+
+    Null, empty and blank texts have no words: their set is empty and they are linked with
+    nothing.  Texts of any length are used whole.  Null ids take part in links, and are
+    never the least of a component unless all are null.  Repeated rows stay, in one
+    component; an empty table stays empty, and other columns are not looked at.
+    """
+    made, of = _linked(docs.select("doc_id", "text"), words, num, den, most_frequent, hubs, dense)
+    # The least document of each set, then of each component.
+    least = made.filter("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("least")).join(of, "rid")
+    lowest = least.groupBy("label").agg(F.min("least").alias("component"))
+    final = least.join(lowest, "label").select("rid", "component")
     return (
         made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rid")
         .join(final, "rid", "left")
@@ -417,21 +468,39 @@ def join(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_fr
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each component: the one with the least doc_id.
+def keep_one(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, most_frequent: int = 1 << 18, hubs: int = 1, dense: int = 64) -> DataFrame:
+    """One row of docs for each component: that with the least doc_id, null ids last, then text hash.
 
-    An id names a document, so of rows that repeat an id one stays.  Rows without an id
-    stay.  Columns of docs are kept.
+    Rows whose texts have no words are linked with nothing and all stay.  Of rows that
+    repeat doc_id and text one stays.  Columns of docs are kept, whatever their names.
+    """
+    made, of = _linked(docs.select("doc_id", "text"), words, num, den, most_frequent, hubs, dense)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    # First one row of each set, so a group of copies is counted before the shuffle.
+    sets = made.filter("rid is not null").groupBy("rid").agg(least.alias("b")).join(of, "rid")
+    best = sets.groupBy("label").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.h").alias("__h"))
+    blank = F.length(F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, "")) == 0
+    full = docs.filter(~blank).select(F.struct(*docs.columns).alias("__row"), "doc_id", F.xxhash64("text").alias("__t"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))
+    chosen = full.join(best, same, "left_semi").dropDuplicates(["doc_id", "__t"])
+    return chosen.select("__row.*").unionByName(docs.filter(blank))
+
+
+def _grouped(rows: DataFrame, **made: Column) -> DataFrame:
+    """rows with aggregates over their key.
+
+    Frequent keys may hold a great part of the rows: they are aggregated before the shuffle
+    and come back by a broadcast, which has a row for each frequent key at most.
     """
-    least = join(docs, **options).select(F.col("component_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    chosen = docs.filter("doc_id is not null").join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    rare = rows.filter(F.col("key") < FREQUENT).withColumns({n: c.over(Window.partitionBy("key")) for n, c in made.items()})
+    common = rows.filter(F.col("key") >= FREQUENT)
+    table = common.groupBy("key").agg(*[c.alias(n) for n, c in made.items()])
+    return rare.unionByName(common.join(F.broadcast(table), "key").select(*rare.columns))
 
 
 def _shared(meets: DataFrame) -> DataFrame:
     """Rows whose key occurs in more than one record."""
-    group = Window.partitionBy("key")
-    return written(meets.withColumn("k", F.count(F.lit(1)).over(group)).filter("k > 1").drop("k"))
+    return written(_grouped(meets, __k=F.count(F.lit(1))).filter("__k > 1").drop("__k"))
 
 
 def _sets(docs: DataFrame, bits, frequent, words: int) -> DataFrame:
