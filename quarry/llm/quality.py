@@ -3,33 +3,60 @@
 Each document has a vector of transformed statistics: square roots of the shares of
 symbols, repeated words, repeated lines, capitals and punctuation, and the log of the
 mean word length.  For each (language, source) a minimum-covariance-determinant estimate
-is found by concentration steps: from medians and quartile ranges, the half of the
-documents with the smallest distances give the next mean and covariance, and so on until
-the half stays the same.  So a group may hold nearly as much junk as good text.  A median
-distance above that of normal data scales a group's distances down.  A document whose squared Mahalanobis distance from its group's estimate exceeds ``cut``
-is rejected.
+is searched: the half of the documents with the smallest covariance determinant.  The
+search starts from the three quartiles with quartile ranges as scales, and from mean and
+covariance of all.  A concentration step takes the half with the smallest distances and
+its mean and covariance; after two steps from each start a group goes on with the start of
+the least determinant, until no determinant moves.  So a group may hold nearly as much junk
+as good text.  A median distance above that of normal data scales a group's distances down.
+
+A document whose squared Mahalanobis distance exceeds the chi-square quantile for ``level``
+is rejected: of normal data, one document in 1 / level.  Statistics of texts have heavier
+tails than normal data, so the level is low.
 
 Everything is DataFrame expressions.  Order statistics come from counts in fine bins, so
-no group is ever gathered, and joins with the groups' table are salted; moments are partial sums; the Cholesky factor of a group's
-covariance is a set of column expressions on a table with one row for each group.  A
-variance floor for each statistic keeps groups in which one never varies from rejecting
-its first other value.  Groups under ``min_group`` documents are pooled by language, and
-what is still too small is pooled altogether; a pool of fewer than twice the number of
-statistics rejects nothing.
+no group is ever gathered, and joins with the groups' table are salted; moments are partial
+sums; the Cholesky factor of a group's covariance, whose diagonal also gives the
+determinant, is a set of column expressions on a table with one row for each group and
+start.  A variance floor for each statistic says which deviations are too small to matter
+and keeps groups in which one never varies from rejecting its first other value.  Groups
+under ``min_group`` documents are pooled by language, and what is still too small is pooled
+altogether; a pool of fewer than twice the number of statistics rejects nothing.
+
+Null, empty and blank texts have no words and fail the base rule.  Texts of any length are
+used whole: 3-word windows are compared by 64-bit hashes, and n_repeat_words could be too
+large where two different windows of one text agree in theirs (for 20,000 words, one text in
+10^11).  Repeated rows count as often as they occur and share their verdict; null languages,
+sources and ids are values of their own; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CHARS, bind, join_small, word_array, written
+from quarry.llm.common import SPACE_CHARS, bind, join_small, released, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 #: Statistic and the least standard deviation that it is taken to have.
 STATISTICS = {"s_sym": 0.05, "s_rep": 0.15, "s_dup": 0.15, "s_len": 0.08, "s_cap": 0.05, "s_pun": 0.06}
-#: Median of the chi-square distribution with as many degrees of freedom as statistics.
-CHI2_MEDIAN = 5.348
+
+
+def chi2_quantile(tail: float, degrees: int = len(STATISTICS)) -> float:
+    """What a chi-square variable with an even number of degrees exceeds with probability tail."""
+    lo, hi = 0.0, 2000.0
+    while hi - lo > 1e-9:
+        x = (lo + hi) / 2
+        over = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+        lo, hi = (x, hi) if over > tail else (lo, x)
+    return hi
+
+
+CHI2_MEDIAN = chi2_quantile(0.5)
+#: Share of normal data that the distance rejects.
+LEVEL = 1e-6
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -143,8 +170,12 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * _STEP).cast("int")
 
 
-def _start(rows: DataFrame, grid: float = 512.0) -> DataFrame:
-    """Medians and scaled quartile ranges as a diagonal factor: a parameter row a group."""
+#: Starts of the search: a quartile as the centre, or the moments of all rows.
+STARTS = ("mid", "lo", "hi", "all")
+
+
+def _starts(rows: DataFrame, starts: tuple[str, ...], grid: float = 512.0) -> DataFrame:
+    """A parameter row for each group and start; scales are quartile ranges."""
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(c) * grid).cast("int").alias("b")) for i, c in enumerate(STATISTICS)])).alias("e"))
     counted = long.groupBy("g", "e.k", "e.b").agg(F.count(F.lit(1)).alias("n"))
     parts = None
@@ -152,13 +183,26 @@ def _start(rows: DataFrame, grid: float = 512.0) -> DataFrame:
         x = _quantile(counted, ["g", "k"], "b", q, name)
         parts = x if parts is None else parts.join(x, ["g", "k"])
     wide = parts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("lo", "mid", "hi")))).alias("m"))
+    wide = wide.withColumn("start", F.explode(F.array(*[F.lit(x) for x in starts if x != "all"])))
     out = {}
     for i, floor in enumerate(STATISTICS.values()):
         e = F.col("m")[i]
-        out[f"m{i}"] = (e["mid"] + 0.5) / grid
+        centre = F.when(F.col("start") == "lo", e["lo"]).when(F.col("start") == "hi", e["hi"]).otherwise(e["mid"])
+        out[f"m{i}"] = (centre + 0.5) / grid
         out[f"l{i}{i}"] = F.sqrt(((e["hi"] - e["lo"]) / grid / 1.349) ** 2 + F.lit(floor**2))
         out |= {f"l{i}{j}": F.lit(0.0) for j in range(i)}
-    return wide.select("g", *[v.alias(k) for k, v in out.items()])
+    made = wide.select("g", "start", *[v.alias(k) for k, v in out.items()])
+    return made.unionByName(_moments(rows.withColumn("start", F.lit("all")))) if "all" in starts else made
+
+
+def _log_det(prefix: str = "") -> Column:
+    return sum((F.log(F.col(f"{prefix}l{i}{i}")) for i in range(len(STATISTICS))), F.lit(0.0)) * 2
+
+
+def _least(params: DataFrame) -> DataFrame:
+    """For each group the start with the least covariance determinant."""
+    best = F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct(_log_det(), "start"))
+    return params.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 
 
 def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
@@ -175,12 +219,12 @@ def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> Da
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance plus floors, one row a group."""
+    """Mean and Cholesky factor of the covariance plus floors, one row a group and start."""
     names = list(STATISTICS)
     d = len(names)
     sums = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]
     sums += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*sums)
+    out = rows.groupBy("g", "start").agg(*sums)
     for i in range(d):
         for j in range(i + 1):
             v = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
@@ -189,31 +233,42 @@ def _moments(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    return out.select("g", "start", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
 def _settled(before: DataFrame, after: DataFrame) -> bool:
-    """Whether a step left every group's estimate as it was."""
+    """Whether a step moved no group's log determinant by more than a ten-thousandth."""
     old = before.withColumnsRenamed({c: f"__{c}" for c in before.columns if c != "g"})
-    moved = [F.abs(F.col(c) - F.col(f"__{c}")) for c in after.columns if c != "g"]
-    return not after.join(old, "g").filter(F.greatest(*moved) > 1e-9).limit(1).count()
+    return not after.join(old, "g").filter(F.abs(_log_det() - _log_det("__")) > 1e-4).limit(1).count()
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> DataFrame:
+    """The parameters after one concentration step of each group and start."""
+    near = _with_distance(rows, params).withColumn("b", _bin(F.col("d2")))
+    by = ["g", "start"]
+    limit = written(_quantile(near.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n")), by, "b", share, "limit"))
+    return written(_moments(join_small(near, limit, by, F.col("doc_id")).filter("b <= limit")))
 
 
-def estimates(rows: DataFrame, *, share: float | None = 0.75, steps: int = 3) -> DataFrame:
-    """The parameter table after at most ``steps`` concentration steps, with n and scale.
+def estimates(rows: DataFrame, *, share: float | None = 0.75, steps: int = 3, starts: tuple[str, ...] = ("mid",), trial: int = 2) -> DataFrame:
+    """The parameter table after the search with at most ``steps`` steps, with n and scale.
 
     rows: doc_id, g and the statistics of the documents that the base rule lets through.
     A share of junk over 1 - ``share`` gets into the subset; None takes the least subset,
-    which is about one half.  Steps end when no group's estimate moves.
+    which is about one half.  Of several starts each makes ``trial`` steps, and the one with
+    the least determinant goes on.
     """
-    params = written(_start(rows))
+    params = written(_starts(rows, starts))
+    if len(starts) > 1:
+        for _ in range(trial):
+            params = _concentrated(rows, params, share)
+        params = written(_least(params))
     for _ in range(steps):
         before = params
-        near = _with_distance(rows, params).withColumn("b", _bin(F.col("d2")))
-        limit = written(_quantile(near.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")), ["g"], "b", share, "limit"))
-        params = written(_moments(join_small(near, limit, ["g"], F.col("doc_id")).filter("b <= limit")))
+        params = _concentrated(rows, params, share)
         if _settled(before, params):
             break
+    params = params.drop("start")
     last = _with_distance(rows, params).groupBy("g", _bin(F.col("d2")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     middle = _quantile(last, ["g"], "b", 0.5, "mid")
     size = last.groupBy("g").agg(F.sum("n").alias("n_group"))
@@ -225,36 +280,42 @@ MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 
 def fit(docs: DataFrame, *, text: str = "text", min_group: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statistics of docs without text, group of each language and source, estimates)."""
+    """(docs without text but with its statistics, group of each language and source, estimates)."""
     rows = written(statistics(counts(docs.drop(*MADE), text)).drop(text))
     groups = written(_groups(rows, min_group))
     named = _named(rows, groups)
-    params = written(estimates(written(named.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS)), share=None, steps=20))
+    used = written(named.filter(~F.col("base_failed")).select("doc_id", "g", *STATISTICS))
+    params = written(estimates(used, share=None, steps=20, starts=STARTS))
+    released(used)
     return rows, groups, params
 
 
-def verdicts(rows: DataFrame, groups: DataFrame, params: DataFrame, cut: float = 60.0) -> DataFrame:
+def verdicts(rows: DataFrame, groups: DataFrame, params: DataFrame, level: float = LEVEL) -> DataFrame:
     """rows (with statistics) with d2 and kept, by estimates of ``fit``."""
     far = _with_distance(_named(rows, groups), params, "left")
     d2 = F.when(F.col("n_group") >= 2 * len(STATISTICS), F.col("d2") / F.col("scale")).otherwise(0.0)
-    return far.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= cut)).drop("n_group", "scale", "g")
+    kept = ~F.col("base_failed") & (F.col("d2") <= chi2_quantile(level))
+    return far.withColumn("d2", d2).withColumn("kept", kept).drop("n_group", "scale", "g")
 
 
-def judge(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group: int = 60) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", level: float = LEVEL, min_group: int = 60) -> DataFrame:
     """The columns of docs but its text, with the counts, d2 and kept.
 
-    kept is false where the base rule fails or d2 exceeds ``cut``.  Needs columns doc_id, lang
-    and source; null ones are groups of their own.  Columns of docs that clash are replaced.
+    kept is false where the base rule fails or d2 exceeds the quantile for ``level``.  Needs
+    columns doc_id, lang and source; null ones are groups of their own.  Columns of docs that
+    clash are replaced.
     """
-    return verdicts(*fit(docs, text=text, min_group=min_group), cut)
+    others = [c for c in docs.columns if c not in (*MADE, text)]
+    carried = docs.select(F.struct(*others).alias("__row"), "doc_id", "lang", "source", text)
+    made = [c for c in MADE if c != "g"]
+    return verdicts(*fit(carried, text=text, min_group=min_group), level).select("__row.*", *made)
 
 
-def keep(docs: DataFrame, *, text: str = "text", cut: float = 60.0, min_group: int = 60) -> DataFrame:
+def keep(docs: DataFrame, *, text: str = "text", level: float = LEVEL, min_group: int = 60) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns as they are.
 
-    Statistics are made again row by row, so texts don't move to meet their verdicts.
+    Rows are written once with their statistics, so texts don't move to meet their verdicts
+    and are looked through once.
     """
-    used = docs.select("doc_id", "lang", "source", text)
-    _, groups, params = fit(used, text=text, min_group=min_group)
     carried = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "lang", "source", text)
-    return verdicts(statistics(counts(carried, text)), groups, params, cut).filter("kept").select("__row.*")
+    return verdicts(*fit(carried, text=text, min_group=min_group), level).filter("kept").select("__row.*")
