@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, extraction, language, media, mixing, ngram_join, packing, quality, sharding, toxicity
-from quarry.llm.common import documents
+from quarry.llm.common import documents, word_count
 
 
 def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def op8_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(documents(spark, sf_dir))
+    # Texts under 50 words are wanted half as often as the others.
+    out = mixing.mix(documents(spark, sf_dir), weight=F.when(word_count(F.col("text")) < 50, 0.5).otherwise(1.0))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
