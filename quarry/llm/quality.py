@@ -184,70 +184,90 @@ def _starts(rows: DataFrame, starts: tuple[str, ...], grid: float = 512.0) -> Da
         parts = x if parts is None else parts.join(x, ["g", "k"])
     wide = parts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("lo", "mid", "hi")))).alias("m"))
     wide = wide.withColumn("start", F.explode(F.array(*[F.lit(x) for x in starts if x != "all"])))
-    out = {}
+    out = ["g", "start"]
     for i, floor in enumerate(STATISTICS.values()):
-        e = F.col("m")[i]
-        centre = F.when(F.col("start") == "lo", e["lo"]).when(F.col("start") == "hi", e["hi"]).otherwise(e["mid"])
-        out[f"m{i}"] = (centre + 0.5) / grid
-        out[f"l{i}{i}"] = F.sqrt(((e["hi"] - e["lo"]) / grid / 1.349) ** 2 + F.lit(floor**2))
-        out |= {f"l{i}{j}": F.lit(0.0) for j in range(i)}
-    made = wide.select("g", "start", *[v.alias(k) for k, v in out.items()])
-    return made.unionByName(_moments(rows.withColumn("start", F.lit("all")))) if "all" in starts else made
-
-
-def _log_det(prefix: str = "") -> Column:
-    return sum((F.log(F.col(f"{prefix}l{i}{i}")) for i in range(len(STATISTICS))), F.lit(0.0)) * 2
+        out.append(f"((CASE start WHEN 'lo' THEN m[{i}].lo WHEN 'hi' THEN m[{i}].hi ELSE m[{i}].mid END) + 0.5D) / {grid}D AS m{i}")
+        out.append(f"sqrt(pow((m[{i}].hi - m[{i}].lo) / {grid}D / 1.349D, 2) + {floor**2!r}D) AS l{i}{i}")
+        out += [f"0D AS l{i}{j}" for j in range(i)]
+    made = _inverted(wide.selectExpr(*out))
+    if "all" not in starts:
+        return made
+    return made.unionByName(_factored(rows.groupBy("g").agg(*_sums()).withColumn("start", F.lit("all"))))
 
 
 def _least(params: DataFrame) -> DataFrame:
     """For each group the start with the least covariance determinant."""
-    best = F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct(_log_det(), "start"))
+    best = F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct("log_det", "start"))
     return params.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 
 
-def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group's estimate."""
-    joined = join_small(rows, params, ["g"], F.col("doc_id"), how)
-    for i, c in enumerate(STATISTICS):  # forward substitution with the factor's columns
-        z = F.col(c) - F.col(f"m{i}")
-        for j in range(i):
-            z = z - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        joined = joined.withColumn(f"y{i}", z / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"y{i}") ** 2 for i in range(1, len(STATISTICS))), F.col("y0") ** 2)
-    drop = [c for c in params.columns if c[0] in "ml"] + [f"y{i}" for i in range(len(STATISTICS))]
-    return joined.withColumn("d2", total).drop(*drop)
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance plus floors, one row a group and start."""
-    names = list(STATISTICS)
-    d = len(names)
-    sums = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]
-    sums += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy("g", "start").agg(*sums)
-    for i in range(d):
-        for j in range(i + 1):
-            v = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                v = F.greatest(v, F.lit(0.0)) + F.lit(STATISTICS[names[i]] ** 2)
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select("g", "start", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner", keep: tuple[str, ...] = ()) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance from their group's estimate, and kept parameters."""
+    used = params.select("g", *keep, *_MEANS, *[f"w{i}{j}" for i, j in _PAIRS])
+    joined = join_small(rows, used, ["g"], F.col("doc_id"), how)
+    shifts = [f"({c} - m{i})" for i, c in enumerate(STATISTICS)]
+    parts = [" + ".join(f"w{i}{j} * {shifts[j]}" for j in range(i + 1)) for i in range(len(STATISTICS))]
+    return joined.select(*rows.columns, *keep, F.expr(" + ".join(f"pow({x}, 2)" for x in parts)).alias("d2"))
+
+
+_PAIRS = [(i, j) for i in range(len(STATISTICS)) for j in range(i + 1)]
+_MEANS = [f"m{i}" for i in range(len(STATISTICS))]
+#: Sums from which moments are made.
+_SUMS = {"n": "count(1)"} | {f"a{i}": f"sum({c})" for i, c in enumerate(STATISTICS)}
+_SUMS |= {f"p{i}{j}": f"sum({list(STATISTICS)[i]} * {list(STATISTICS)[j]})" for i, j in _PAIRS}
+
+
+def _sums() -> list[Column]:
+    return [F.expr(v).alias(k) for k, v in _SUMS.items()]
+
+
+def _factored(sums: DataFrame, others: list[str] = []) -> DataFrame:
+    """g, start, the mean, the Cholesky factor l of covariance plus floors, its inverse w, and log_det.
+
+    sums: a row for each group and start.  Each column may use those before it.
+    """
+    out = ["g", "start", *others]
+    out += [f"a{i} / n AS m{i}" for i in range(len(STATISTICS))]
+    for i, j in _PAIRS:
+        cov = f"p{i}{j} / n - m{i} * m{j}"
+        v = f"greatest({cov}, 0D) + {list(STATISTICS.values())[i] ** 2!r}D" if i == j else cov
+        v += "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append(f"sqrt(greatest({v}, 1e-6D)) AS l{i}{j}" if i == j else f"({v}) / l{j}{j} AS l{i}{j}")
+    return _inverted(sums.selectExpr(*out), others)
+
+
+def _inverted(factors: DataFrame, others: list[str] = []) -> DataFrame:
+    """factors (l) with their inverse w and log_det."""
+    out = ["g", "start", *others, *_MEANS, *[f"l{i}{j}" for i, j in _PAIRS]]
+    for i, j in _PAIRS:
+        dots = " + ".join(f"l{i}{k} * w{k}{j}" for k in range(j, i))
+        out.append(f"1 / l{i}{i} AS w{i}{j}" if i == j else f"-({dots}) / l{i}{i} AS w{i}{j}")
+    out.append("2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(len(STATISTICS))) + ") AS log_det")
+    return factors.selectExpr(*out)
 
 
 def _settled(before: DataFrame, after: DataFrame) -> bool:
     """Whether a step moved no group's log determinant by more than a ten-thousandth."""
-    old = before.withColumnsRenamed({c: f"__{c}" for c in before.columns if c != "g"})
-    return not after.join(old, "g").filter(F.abs(_log_det() - _log_det("__")) > 1e-4).limit(1).count()
+    return not after.filter("abs(log_det - log_det_before) > 1e-4").limit(1).count()
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> DataFrame:
-    """The parameters after one concentration step of each group and start."""
-    near = _with_distance(rows, params).withColumn("b", _bin(F.col("d2")))
+    """The parameters after one concentration step of each group and start.
+
+    Moments are summed by bins of distance, so one pass over the rows gives both the
+    distance that bounds the subset and the subset's moments.
+    """
+    before = params.drop("log_det_before").withColumnRenamed("log_det", "log_det_before")
+    near = _with_distance(rows, before, keep=("start", "log_det_before")).withColumn("b", _bin(F.col("d2")))
     by = ["g", "start"]
-    limit = written(_quantile(near.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n")), by, "b", share, "limit"))
-    return written(_moments(join_small(near, limit, by, F.col("doc_id")).filter("b <= limit")))
+    # From here on there is a row for each group, start and bin.
+    bins = near.groupBy(*by, "b").agg(*_sums(), F.first("log_det_before").alias("log_det_before"))
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("n").over(Window.partitionBy(*by))
+    wanted = _half(F.col("__t")) if share is None else share * F.col("__t")
+    inside = bins.withColumns({"__u": upto, "__t": whole}).filter(F.col("__u") < wanted)
+    sums = inside.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS], F.first("log_det_before").alias("log_det_before"))
+    return written(_factored(sums, ["log_det_before"]))
 
 
 def estimates(rows: DataFrame, *, share: float | None = 0.75, steps: int = 3, starts: tuple[str, ...] = ("mid",), trial: int = 2) -> DataFrame:
@@ -268,7 +288,7 @@ def estimates(rows: DataFrame, *, share: float | None = 0.75, steps: int = 3, st
         params = _concentrated(rows, params, share)
         if _settled(before, params):
             break
-    params = params.drop("start")
+    params = params.drop("start", "log_det_before")
     last = _with_distance(rows, params).groupBy("g", _bin(F.col("d2")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     middle = _quantile(last, ["g"], "b", 0.5, "mid")
     size = last.groupBy("g").agg(F.sum("n").alias("n_group"))
@@ -292,7 +312,7 @@ def fit(docs: DataFrame, *, text: str = "text", min_group: int = 60) -> tuple[Da
 
 def verdicts(rows: DataFrame, groups: DataFrame, params: DataFrame, level: float = LEVEL) -> DataFrame:
     """rows (with statistics) with d2 and kept, by estimates of ``fit``."""
-    far = _with_distance(_named(rows, groups), params, "left")
+    far = _with_distance(_named(rows, groups), params, "left", ("n_group", "scale"))
     d2 = F.when(F.col("n_group") >= 2 * len(STATISTICS), F.col("d2") / F.col("scale")).otherwise(0.0)
     kept = ~F.col("base_failed") & (F.col("d2") <= chi2_quantile(level))
     return far.withColumn("d2", d2).withColumn("kept", kept).drop("n_group", "scale", "g")
