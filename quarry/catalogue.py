@@ -6,41 +6,16 @@ embeddings for vectors, events for the queue and fetch log, conversations for ch
 
 from __future__ import annotations
 
-from dataclasses import replace
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.config import Settings
 from quarry.functions import answers, html, text, urls
 from quarry.operators import chunking, lines, ranking, results, search, state, vectors
 from quarry.plans import ingest, retrieve
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from quarry.registry import QUERIES, SQL, query
+from quarry.registry import table as _t
 
 # Text ---------------------------------------------------------------------------------
 
@@ -153,8 +128,8 @@ lines AS (SELECT * FROM l WHERE line <> '')
 @query(_LINES + """, d AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM lines)
 SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS clean FROM d WHERE before IS NULL OR before <> line GROUP BY doc_id""")
 def adjacent_line_dedupe(spark, sf_dir):
-    rows = lines.collapse_adjacent(lines.lines(_t(spark, sf_dir, "documents")))
-    return lines.joined(rows).select("doc_id", F.md5("clean_text").alias("clean"))
+    clean = lines.joined(lines.collapse_adjacent(lines.lines(F.col("text"))))
+    return _t(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).filter("c <> ''").select("doc_id", F.md5("c").alias("clean"))
 
 
 @query(_LINES + """, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS k, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS r FROM lines WHERE NOT regexp_matches(line, '^\\d{1,4}$') AND NOT regexp_matches(lower(line), '^(page|бет)\\s*\\d{1,4}(\\s*/\\s*\\d{1,4})?$')),
@@ -162,9 +137,9 @@ o AS (SELECT doc_id, pos, line FROM n WHERE NOT (k >= 2 AND length(line) <= 200
 d AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM o)
 SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS clean FROM d WHERE before IS NULL OR before <> line GROUP BY doc_id""")
 def repeated_line_keep_once(spark, sf_dir):
-    rows = lines.without_page_numbers(lines.lines(_t(spark, sf_dir, "documents")))
-    rows = lines.collapse_adjacent(lines.keep_once(rows, F.contains(F.lower("line"), F.lit("the")), times=2))
-    return lines.joined(rows).select("doc_id", F.md5("clean_text").alias("clean"))
+    ls = lines.keep_once(lines.without_page_numbers(lines.lines(F.col("text"))), lambda x: F.contains(F.lower(x), F.lit("the")), times=2)
+    rows = _t(spark, sf_dir, "documents").select("doc_id", lines.joined(lines.collapse_adjacent(ls)).alias("c"))
+    return rows.filter("c <> ''").select("doc_id", F.md5("c").alias("clean"))
 
 
 @query("""
@@ -222,8 +197,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id,
 SELECT query_id, CAST(pos AS INTEGER) AS pos, doc_id, chunk_index, bm25 FROM p WHERE pos <= 8""")
 def fts_bm25_topk(spark, sf_dir):
     keys = ["doc_id", "chunk_index"]
-    f, sizes = search.postings(_chunks(spark, sf_dir), keys, {"chunk_text": 1.0})
-    hits = search.bm25(f, sizes, search.terms(_asked(spark)), keys)
+    wanted = search.terms(_asked(spark))
+    f, sizes = search.postings(_chunks(spark, sf_dir), keys, {"chunk_text": 1.0}, wanted)
+    hits = search.bm25(f, sizes, wanted, keys)
     top = search.capped(hits, "bm25", "doc_id", 2, 8, 60, tie=["doc_id", "chunk_index"])
     return top.select("query_id", "pos", "doc_id", "chunk_index", "bm25")
 
@@ -275,23 +251,22 @@ SELECT query_id, page_id, round(-sum(CASE WHEN ln((rows_all - df + 0.5) / (df +
 FROM q JOIN f USING (term) JOIN df USING (term) JOIN sizes USING (page_id), st GROUP BY ALL""")
 def fts_title_weighted(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select("page_id", html.heading(F.col("html")).alias("title"), html.strip_tags(F.col("html")).alias("body"))
-    f, sizes = search.postings(p, ["page_id"], {"title": 6.0, "body": 1.0})
-    return search.bm25(f, sizes, search.terms(_asked(spark)), ["page_id"])
+    wanted = search.terms(_asked(spark))
+    f, sizes = search.postings(p, ["page_id"], {"title": 6.0, "body": 1.0}, wanted)
+    return search.bm25(f, sizes, wanted, ["page_id"])
 
 
 @query("""
-WITH q AS (SELECT CAST(item_id AS BIGINT) AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS ts FROM benchmark WHERE item_id < 3),
+WITH q AS (SELECT CAST(item_id AS BIGINT) AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS ts FROM benchmark WHERE item_id % 100 = 0),
 qt AS (SELECT query_id, unnest(ts) AS term FROM q),
-c AS (SELECT query_id, doc_id AS item_id, text FROM q, documents WHERE doc_id % 7 = query_id),
+c AS (SELECT query_id, doc_id AS item_id, text FROM q, documents),
 tf AS (SELECT query_id, item_id, term, count(*) AS tf FROM (SELECT query_id, item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM c) JOIN qt USING (query_id, term) GROUP BY ALL),
 df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_all FROM c GROUP BY 1),
 s AS (SELECT query_id, item_id, sum(ln((n_all - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2)) AS s FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY ALL)
 SELECT query_id, item_id, round(coalesce(s, 0.0), 6) AS bm25 FROM (SELECT query_id, item_id FROM c) LEFT JOIN s USING (query_id, item_id)""")
 def bm25_lite_topk(spark, sf_dir):
-    q = _t(spark, sf_dir, "benchmark").filter("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    # Each document is a candidate of one query at most.
-    c = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("item_id"), "text").filter("query_id < 3")
-    return search.bm25_lite(q, c.join(q.select("query_id"), "query_id", "left_semi"))
+    q = _t(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25_lite(q, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"))
 
 
 # Vectors ------------------------------------------------------------------------------
@@ -301,18 +276,18 @@ def _cos(a: str, b: str) -> str:
 
 
 _HITS = f"""
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM s)
 """
 
 
-#: The queries of searches without a twin: their number grows with the table.
+#: The queries of searches: their number grows with the table.
 _SEARCHED = "vec_id % 100 = 0"
 
 
-def _vector_hits(spark, sf_dir, k, metric="cosine", asked="vec_id < 5"):
+def _vector_hits(spark, sf_dir, k, metric="cosine"):
     v = _t(spark, sf_dir, "embeddings")
-    q = v.filter(asked).select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.filter(_SEARCHED).select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors.top_k(q, v, k, metric=metric)
 
 
@@ -322,7 +297,7 @@ def vector_topk_cosine(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM s)
 SELECT query_id, vec_id, score, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 15""")
 def vector_topk_ip(spark, sf_dir):
@@ -344,16 +319,41 @@ def cap_before_topk(spark, sf_dir):
     return ranking.cap_before(hits.drop("pos"), 8, 2, "label", tie="vec_id").select("query_id", "vec_id", "pos")
 
 
-@query()
+def _mmr_sql(pool: str, k: int = 8, lam: float = 0.7) -> str:
+    """Greedy choice, unrolled: c0, c1, ... have (query_id, item_id, pos) of the items chosen so far.
+
+    pool: query_id, item_id, score, r (rank by score) and the unit vector u.
+    """
+    out = f"pool AS ({pool}), many AS (SELECT query_id, count(*) > {k} AS many FROM pool GROUP BY 1),\nc0 AS (SELECT query_id, item_id, u, 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) AS f FROM pool) WHERE f = 1)"
+    for i in range(1, k):
+        out += f""",
+s{i} AS (SELECT p.query_id, p.item_id, p.r, any_value(p.u) AS u, {lam} * any_value(p.score) - {1 - lam} * max(list_inner_product(p.u, c.u)) AS s FROM pool p JOIN c{i - 1} c USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM c{i - 1} x WHERE x.query_id = p.query_id AND x.item_id = p.item_id) GROUP BY p.query_id, p.item_id, p.r),
+c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT query_id, item_id, u, {i + 1} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS f FROM s{i}) WHERE f = 1)"""
+    return out + f",\nmmr AS (SELECT query_id, item_id, CAST(pos AS INTEGER) AS pos FROM c{k - 1} JOIN many USING (query_id) WHERE many UNION ALL SELECT query_id, item_id, CAST(r AS INTEGER) FROM pool JOIN many USING (query_id) WHERE NOT many)"
+
+
+_UNIT = "list_transform(CAST({v} AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST({v} AS DOUBLE[]), CAST({v} AS DOUBLE[]))))"
+
+
+@query(_HITS + ", " + _mmr_sql(f"SELECT query_id, r.vec_id AS item_id, score, pos AS r, {_UNIT.format(v='e.embedding')} AS u FROM r JOIN embeddings e USING (vec_id) WHERE pos <= 15") + " SELECT query_id, item_id, pos FROM mmr")
 def mmr_select(spark, sf_dir):
-    hits = _vector_hits(spark, sf_dir, 15, asked=_SEARCHED).join(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    hits = _vector_hits(spark, sf_dir, 15).join(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     return ranking.mmr(hits.select("query_id", F.col("vec_id").alias("item_id"), "score", "embedding"))
 
 
-@query(_HITS + """, b AS (SELECT query_id, vec_id, score, (vec_id % 10) / 2.0 AS bm25, CASE WHEN vec_id % 3 = 0 THEN 0.2 ELSE 0.0 END AS bonus FROM r WHERE pos <= 30)
+@query(_HITS + """, c AS (SELECT query_id, vec_id, score, CASE WHEN vec_id % 3 = 0 THEN 0.2 ELSE 0.0 END AS bonus, d.text FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE pos <= 30),
+qt AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}'))) AS term FROM (SELECT DISTINCT query_id FROM c) JOIN documents ON doc_id = query_id),
+tf AS (SELECT query_id, vec_id, term, count(*) AS tf FROM (SELECT query_id, vec_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM c) JOIN qt USING (query_id, term) GROUP BY ALL),
+df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_all FROM c GROUP BY 1),
+lite AS (SELECT query_id, vec_id, sum(ln((n_all - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2)) AS s FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY ALL),
+b AS (SELECT query_id, vec_id, score, bonus, round(coalesce(s, 0.0), 6) AS bm25 FROM c LEFT JOIN lite USING (query_id, vec_id))
 SELECT query_id, vec_id, round(CAST(0.7 * (score + 1) / 2 + 0.3 * (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w + 1e-9) + bonus AS DOUBLE), 6) AS score FROM b WINDOW w AS (PARTITION BY query_id)""")
 def hybrid_score(spark, sf_dir):
-    b = _vector_hits(spark, sf_dir, 30).withColumns({"bm25": (F.col("vec_id") % 10) / 2, "bonus": F.when(F.col("vec_id") % 3 == 0, 0.2).otherwise(0.0)})
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    c = _vector_hits(spark, sf_dir, 30).join(d, "vec_id").withColumn("item_id", F.col("vec_id"))
+    asked = d.join(c.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("text").alias("query"))
+    lite = search.bm25_lite(asked, c.select("query_id", "item_id", "text"))
+    b = c.join(lite, ["query_id", "item_id"]).withColumn("bonus", F.when(F.col("vec_id") % 3 == 0, 0.2).otherwise(0.0))
     return b.select("query_id", "vec_id", F.round(ranking.hybrid(F.col("score"), F.col("bm25"), F.col("bonus")), 6).alias("score"))
 
 
@@ -366,11 +366,15 @@ def _result_list(spark, sf_dir):
 def hybrid_two_stage(spark, sf_dir):
     rows = _result_list(spark, sf_dir)
     q = spark.createDataFrame([(i, f"the {w} and") for i, w in enumerate(("with", "que", "nicht", "para", "from"))], "query_id long, query string")
-    # Whole passages: the offline embedder has no bound on a text's length.
-    return retrieve.stage2(q, rows, r"\bThe\b", replace(Settings(), embed_chars=None)).select("query_id", "pos", "url", "chunk_index", "score")
+    return retrieve.stage2(q, rows, r"\bThe\b").select("query_id", "pos", "url", "chunk_index", "score")
 
 
-@query()
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS c FROM s),
+h AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY c) AS pos FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE c <= 15)
+SELECT query_id, string_agg('[SOURCE ' || pos || ']' || chr(10) || 'Title: Document ' || doc_id || chr(10) || 'URL: https://docs.example.org/docs/' || doc_id || chr(10) || 'Chunk: 0' || chr(10) || 'Text:' || chr(10)
+  || CASE WHEN length(text) > 1200 THEN regexp_replace(left(text, 1200), ' [^ ]*$', '') || ' …' ELSE text END || chr(10), chr(10) || chr(10) ORDER BY pos) AS context FROM h GROUP BY query_id""")
 def dense_retrieval_context(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
     q = v.filter(_SEARCHED).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -464,7 +468,7 @@ def dequeue_batch(spark, sf_dir):
 
 
 def _doc_state(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").filter("event_id % 7 <> 0")
+    e = _t(spark, sf_dir, "events")
     d = e.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.max("ts").alias("next_recheck_at"), F.max_by("event_type", "event_id").alias("kind"), F.min("ts").cast("timestamp").alias("last_seen_at"))
     return d.select(
         "doc_id", F.when(F.col("kind") != "signup", F.col("next_recheck_at")).cast("timestamp").alias("next_recheck_at"), F.when(F.col("kind") == "error", "error").otherwise("ok").alias("status"), "last_seen_at",
@@ -473,7 +477,7 @@ def _doc_state(spark, sf_dir):
 
 
 _DOCS = """
-WITH d0 AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(ts) AS nr, max_by(event_type, event_id) AS kind, min(ts) AS last_seen_at FROM events WHERE event_id % 7 <> 0 GROUP BY 1),
+WITH d0 AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max(ts) AS nr, max_by(event_type, event_id) AS kind, min(ts) AS last_seen_at FROM events GROUP BY 1),
 docs AS (SELECT doc_id, CASE WHEN kind <> 'signup' THEN nr END AS next_recheck_at, CASE WHEN kind = 'error' THEN 'error' ELSE 'ok' END AS status, last_seen_at, CASE WHEN kind = 'error' THEN '' END AS last_error FROM d0)
 """
 
@@ -483,15 +487,15 @@ def recheck_due(spark, sf_dir):
     return state.recheck_due(_doc_state(spark, sf_dir), F.expr("TIMESTAMP'2024-01-31 00:00:00'"), 6).select("doc_id", F.unix_micros("next_recheck_at").alias("due_us"))
 
 
-@query(_DOCS + """, r AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max_by(event_type, event_id) AS kind, max(ts) AS now, max(event_id) AS id FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+@query(_DOCS + """, r AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, max_by(event_type, event_id) AS kind, max(ts) AS now, max(event_id) AS id FROM events GROUP BY 1 HAVING max_by(event_type, event_id) <> 'click')
 SELECT doc_id, CASE WHEN r.kind IS NULL THEN status WHEN r.kind = 'signup' THEN 'skipped' WHEN r.kind = 'error' THEN 'error' ELSE 'ok' END AS status,
   CAST(epoch_us(CASE WHEN r.kind IS NULL THEN next_recheck_at WHEN r.kind = 'error' THEN now + INTERVAL 3 DAY ELSE now + INTERVAL 21 DAY END) AS BIGINT) AS due_us,
   CASE WHEN r.kind = 'view' THEN 'h' || CAST(id AS VARCHAR) ELSE 'h0' END AS content_hash,
   CAST(epoch_us(CASE WHEN r.kind = 'view' THEN now END) AS BIGINT) AS changed_us
 FROM docs LEFT JOIN r USING (doc_id)""")
 def record_fetch_merge(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").filter("user_id % 2 = 0")
-    r = e.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("kind"), F.max("ts").cast("timestamp").alias("now"), F.max("event_id").alias("id"))
+    # Documents whose last event is a click were not fetched.
+    r = _t(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("kind"), F.max("ts").cast("timestamp").alias("now"), F.max("event_id").alias("id")).filter("kind <> 'click'")
     fetched = r.select(
         "doc_id", F.when(F.col("kind").isin("error", "signup"), "failed").alias("error"), (F.col("kind") == "signup").alias("skipped"), (F.col("kind") == "view").alias("changed"),
         F.when(F.col("kind") == "view", F.concat(F.lit("h"), F.col("id").cast("string"))).alias("content_hash"), F.lit(None).cast("string").alias("etag"), "now",
@@ -579,7 +583,16 @@ def _answered(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", a.alias("answer"))
 
 
-@query()
+#: text || ' [a] and [b]', a blank line and text again, then sources that are cut off.
+_TWO = """
+WITH s AS (SELECT conv_id, turn, text, CAST(conv_id % 4 + 1 AS VARCHAR) AS a, CAST(turn % 3 + 1 AS VARCHAR) AS b FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, turn, a, b, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM s),
+blocks AS (SELECT conv_id, turn, 0 AS i, trim(regexp_replace(t || ' and', '\\s+', ' ', 'g')) AS text, length(t || ' [' || a || '] and [' || b || ']') AS n, CASE WHEN a = '4' THEN [b] WHEN a = b THEN [a] ELSE [a, b] END AS ids FROM p
+           UNION ALL SELECT conv_id, turn, 1, trim(regexp_replace(t, '\\s+', ' ', 'g')), length(t), ['2'] FROM p)
+"""
+
+
+@query(_TWO + ", k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS r FROM blocks WHERE n >= 10) SELECT conv_id, turn, CAST(r AS INTEGER) AS i, text, array_to_string(ids, ',') AS anchors FROM k")
 def answer_blocks(spark, sf_dir):
     ids = F.array(*[F.lit(str(i)) for i in range(1, 4)])
     rows = _answered(spark, sf_dir).select("conv_id", "turn", F.posexplode(answers.blocks(F.col("answer"), ids)).alias("i", "b"))
@@ -605,7 +618,21 @@ def last_history_message(spark, sf_dir):
     return answers.last_message(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
 
 
-@query()
+def _ingest_sql() -> str:
+    first = _QUALITY.lstrip().removeprefix("WITH ")
+    names = ("w", "l", "m", "q", "quality")
+    second = first.replace("FROM documents", "FROM changed")
+    for n in names:
+        second = re.sub(rf"\b{n} AS \(", f"{n}2 AS (", second)
+        second = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {n}2", second)
+    return f"""
+WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' more words' ELSE text END AS text FROM documents), {first}, {second},
+h AS (SELECT doc_id, {_HASH} AS a FROM documents), h2 AS (SELECT doc_id, {_HASH} AS b FROM changed)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN NOT y.ok THEN 'skipped' WHEN doc_id % 9 = 0 OR NOT x.ok THEN 'new' WHEN a = b THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM quality x JOIN quality2 y USING (doc_id) JOIN h USING (doc_id) JOIN h2 USING (doc_id)"""
+
+
+@query(_ingest_sql())
 def ingest_batch(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("https://docs.example.org/docs/"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("title"), "text", F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"), F.lit(None).cast("string").alias("etag"))
     empty = ingest.Snapshot(spark.createDataFrame([], ingest.DOCUMENTS), spark.createDataFrame([], ingest.CHUNKS))
@@ -613,3 +640,16 @@ def ingest_batch(spark, sf_dir):
     again = d.withColumn("text", F.when(F.col("doc_id").cast("long") % 4 == 0, F.concat("text", F.lit(" more words"))).otherwise(F.col("text"))).withColumn("error", F.lit(None).cast("string"))
     _, results_ = ingest.ingest(first, again, F.expr("TIMESTAMP'2024-01-02 00:00:00'"))
     return results_
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+from quarry import catalogue_functions, catalogue_plans  # noqa: E402  they register theirs and use the texts above
+
+__all__ = ["catalogue_functions", "catalogue_plans", "oracle_sql", "queries"]

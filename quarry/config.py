@@ -44,7 +44,8 @@ class Settings:
     per_domain: int = 2
     context_chars: int = 32_000
     block_chars: int = 1_200
-    embed_chars: int | None = 8_000
+    #: Characters of a text that a model reads; None: whole texts.
+    embed_chars: int | None = None
 
     min_words: int = 120
     min_unique: int = 60

@@ -173,3 +173,21 @@ def last_message(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 def first_provider(*answers: Column) -> Column:
     """The first provider's answer that isn't empty."""
     return F.coalesce(*[F.nullif(strip(a), F.lit("")) for a in answers])
+
+
+#: Shapes of a language model's JSON response that hold its text.
+RESPONSE = "text string, output_text string, choices array<struct<text:string,message:struct<content:string>>>, output array<struct<content:array<struct<text:string>>>>, candidates array<struct<content:struct<parts:array<struct<text:string>>>>>"
+
+
+def response_text(body: Column) -> Column:
+    """The text of a model's JSON response: the first shape that has one; empty without any."""
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: x.isNotNull()), "")
+
+    r = F.from_json(body, RESPONSE)
+    first = F.get(r["choices"], F.lit(0))
+    outputs = F.flatten(F.filter(F.transform(r["output"], lambda o: F.transform(o["content"], lambda c: c["text"])), lambda x: x.isNotNull()))
+    parts = F.transform(F.get(r["candidates"], F.lit(0))["content"]["parts"], lambda p: p["text"])
+    shapes = (first["message"]["content"], first["text"], r["output_text"], joined(outputs), joined(parts), r["text"])
+    return F.coalesce(*[F.nullif(strip(F.coalesce(x, F.lit(""))), F.lit("")) for x in shapes], F.lit(""))

@@ -16,6 +16,10 @@ CONTENT_NAMES = frozenset(("content", "document", "doc", "document-content", "do
 FURNITURE = ("nav", "menu", "footer", "header", "sidebar")
 
 
+#: References that titles and snippets have; the ampersand's comes last.
+REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#34", '"'), ("#39", "'"), ("#x27", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
+
+
 def strip_tags(page: Column, drop: tuple[str, ...] = STRIPPED) -> Column:
     """The page's text in one line, by patterns; entities stay as they are."""
     out = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
@@ -24,6 +28,13 @@ def strip_tags(page: Column, drop: tuple[str, ...] = STRIPPED) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"[ \t\n\r]+", " "))
 
 
+def unescaped(c: Column) -> Column:
+    """c with the commonest character references decoded."""
+    for name, value in REFERENCES:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
+    return c
+
+
 def heading(page: Column) -> Column:
     return F.regexp_extract(page, r"(?s)<h1[^>]*>(.*?)</h1>", 1)
 
@@ -170,6 +181,26 @@ def extracted(pages: DataFrame, rule: str = "lines", key: str = "page_id", page:
     return pages.select(key, page).mapInArrow(run, f"{key} {kind}, title string, text string")
 
 
+def crawl_delay_of(robots: Column) -> Column:
+    """``crawl_delay`` as an expression: the first delay under ``User-agent: *``, null if it is no number."""
+    kept = F.filter(F.transform(F.split(robots, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+
+    def value(x: Column) -> Column:
+        return F.trim(F.regexp_replace(x, "^[^:]*:", ""))
+
+    def step(at: Column, x: Column) -> Column:
+        low = F.lower(x)
+        agent = low.startswith("user-agent:")
+        hit = at["star"] & at["delay"].isNull() & low.startswith("crawl-delay:")
+        return F.struct(
+            F.when(agent, value(x) == "*").otherwise(at["star"]).alias("star"),
+            F.when(hit, value(x)).otherwise(at["delay"]).alias("delay"),
+        )
+
+    start = F.struct(F.lit(False).alias("star"), F.lit(None).cast("string").alias("delay"))
+    return F.aggregate(kept, start, step)["delay"].try_cast("double")
+
+
 def crawl_delay(robots: str | None) -> float | None:
     """The first Crawl-delay for all agents; None if there is none or it is no number."""
     ours = False

@@ -92,9 +92,16 @@ def safe_bool(c: Column, default: bool) -> Column:
 
 
 def iso(c: Column) -> Column:
+    """A timestamp as UTC seconds (the session's time zone is UTC)."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def parse_iso(c: Column) -> Column:
+    """The timestamp of an ISO text with a zone, ``Z`` or none (UTC); null for others."""
+    zoned = F.regexp_replace(F.regexp_replace(F.trim(c), "[zZ]$", "+00:00"), r"^(\d{4}-\d\d-\d\d)$", "$1T00:00:00")
+    return F.when(zoned.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?([+-]\d\d:?\d\d)?$"), zoned.try_cast("timestamp"))
+
+
 def shorten(c: Column, most: int) -> Column:
     """At most ``most`` characters, cut at a space and marked."""
     return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.left(c, F.lit(most)), " [^ ]*$", ""), F.lit(" …"))).otherwise(c)
@@ -115,11 +122,13 @@ def nonempty_lines(c: Column) -> Column:
 def quality(c: Column) -> Column:
     """Struct of size, variety, repetition and interface marks of a text, and its score."""
     t = strip(F.coalesce(c, F.lit("")))
-    found = F.regexp_extract_all(F.lower(t), F.lit(f"([{WORD_LETTERS}]+)".lower()), 1)
-    low = F.lower(t)
-    marks = sum((F.when(F.contains(low, F.lit(m)), 1).otherwise(0) for m in UI_MARKERS[1:]), F.when(F.contains(low, F.lit(UI_MARKERS[0])), 1).otherwise(0))
-    hinted = low.rlike("(?U)" + "|".join(DOCUMENT_HINTS))
-    ui = (marks >= 2) & ~hinted
+
+    def by_case(low: Column) -> Column:
+        # low is made once; the hints are looked for only where markers are.
+        found = F.regexp_extract_all(low, F.lit(f"([{WORD_LETTERS}]+)".lower()), 1)
+        marks = sum((F.when(F.contains(low, F.lit(m)), 1).otherwise(0) for m in UI_MARKERS[1:]), F.when(F.contains(low, F.lit(UI_MARKERS[0])), 1).otherwise(0))
+        ui = F.when(marks >= 2, ~low.rlike("(?U)" + "|".join(DOCUMENT_HINTS))).otherwise(False)
+        return F.struct(once(found, by_words).alias("w"), ui.alias("ui"))
 
     def by_words(w: Column) -> Column:
         return F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("u"))
@@ -136,19 +145,18 @@ def quality(c: Column) -> Column:
 
     facts = F.struct(
         F.length(t).alias("chars"),
-        once(found, by_words).alias("w"),
+        once(F.lower(t), by_case).alias("low"),
         once(nonempty_lines(F.coalesce(c, F.lit(""))), by_lines).alias("ls"),
-        ui.alias("ui"),
     )
 
     def summary(f: Column) -> Column:
-        w, ls = f["w"], f["ls"]
+        w, ls, ui = f["low"]["w"], f["ls"], f["low"]["ui"]
         ratio = F.when(w["n"] > 0, w["u"] / w["n"]).otherwise(0.0)
         common = F.when(ls["n"] >= 5, ls["top"] / ls["n"]).otherwise(0.0)
-        score = w["u"] + 0.05 * F.least(w["n"], F.lit(5000)) - F.when(f["ui"], 1000.0).otherwise(0.0) - 200.0 * common
+        score = w["u"] + 0.05 * F.least(w["n"], F.lit(5000)) - F.when(ui, 1000.0).otherwise(0.0) - 200.0 * common
         return F.struct(
             f["chars"].alias("n_chars"), w["n"].alias("n_words"), w["u"].alias("unique_words"), ratio.alias("unique_ratio"),
-            ls["n"].alias("n_lines"), common.alias("common_line_ratio"), f["ui"].alias("looks_like_ui"), score.alias("score"),
+            ls["n"].alias("n_lines"), common.alias("common_line_ratio"), ui.alias("looks_like_ui"), score.alias("score"),
         )
 
     return once(facts, summary)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
+from quarry.functions.text import once
 
 #: Endings that a label drops, the first that fits.
 ENDINGS = (".uz", ".com", ".ru", ".org", ".net", ".io", ".co", ".info")
@@ -53,15 +54,41 @@ def base_url(c: Column, s: Settings = Settings()) -> Column:
     return F.regexp_replace(F.regexp_replace(schemed, "/+$", ""), rf"^(https?://){_quoted(s.site)}(?=[/:]|$)", f"$1www.{s.site}")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments worked out."""
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.lit(1), F.size(kept) - 1))
+        return F.when(x == "..", up).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    def worked(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts))), F.array(F.lit("")), step)
+        open_end = F.element_at(parts, -1).isin(".", "..")
+        return F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+    return F.when(path.rlike(r"/\.\.?(/|$)"), once(F.split(path, "/"), worked)).otherwise(path)
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """href made absolute from the page at base, as browsers do."""
+    at, tail = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    plain = F.regexp_extract(base, "^([^?#]*)", 1)
+    folder = F.regexp_extract(F.substr(plain, F.length(root(base)) + 1), "^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(root(base), _without_dots(at), tail))
+        .when(href == "", base)
+        .when(href.startswith("?"), F.concat(plain, href))
+        .when(href.startswith("#"), F.concat(without_fragment(base), href))
+        .otherwise(F.concat(root(base), _without_dots(F.concat(folder, at)), tail))
+    )
+
+
 def canonical(base: Column, href: Column, s: Settings = Settings()) -> Column:
     """href made absolute; on the site, with the base's form of its host."""
-    joined = (
-        F.when(href.rlike("^https?://"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(root(base), href))
-        .when(href.startswith("#") | href.startswith("?"), F.concat(base, F.lit("/"), href))
-        .otherwise(F.concat(base, F.lit("/"), F.regexp_replace(href, r"^(\./)+", "")))
-    )
+    joined = joined_url(base, href)
     ours = [s.site, f"www.{s.site}"]
     swap = F.concat(root(base), F.regexp_replace(joined, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""))
     return F.when(host(joined).isin(ours) & host(base).isin(ours), swap).otherwise(joined)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalize_ws
+from quarry.functions.text import normalize_ws, once
 
 #: Lines of the site's own controls, and what marks a running head.
 CONTROL_LINES = (
@@ -17,48 +19,57 @@ PAGE_NUMBER = r"^\d{1,4}$"
 PAGE_LINE = r"^(page|бет)\s*\d{1,4}(\s*/\s*\d{1,4})?$"
 
 
-def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, pos and line of the lines that aren't empty once normalised."""
-    return (
-        docs.select(key, F.posexplode(F.split(F.translate(text, "\f", "\n"), "\n")).alias("pos", "line"))
-        .withColumn("line", normalize_ws(F.col("line")))
-        .filter("line <> ''")
-    )
+def lines(text: Column) -> Column:
+    """The lines of a text that aren't empty once normalised."""
+    return F.filter(F.transform(F.split(F.translate(text, "\f", "\n"), "\n"), normalize_ws), lambda x: x != "")
+
 
+def without_controls(ls: Column) -> Column:
+    """Lines without control lines, image marks, store links and lines of two characters."""
 
-def without_controls(rows: DataFrame) -> DataFrame:
-    """rows without control lines, image marks, store links and lines of two characters."""
-    low = F.lower("line")
-    drop = low.isin(*CONTROL_LINES, "image") | (F.length("line") <= 2)
-    for s in STORE_LINKS:
-        drop = drop | F.contains(F.col("line"), F.lit(s))
-    return rows.filter(~drop)
+    def stays(x: Column) -> Column:
+        keep = ~F.lower(x).isin(*CONTROL_LINES, "image") & (F.length(x) > 2)
+        for s in STORE_LINKS:
+            keep &= ~F.contains(x, F.lit(s))
+        return keep
 
+    return F.filter(ls, stays)
 
-def collapse_adjacent(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """rows without a line equal to the one before."""
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("pos"))
-    return rows.withColumn("before", before).filter("before IS NULL OR before <> line").drop("before")
 
+def collapse_adjacent(ls: Column) -> Column:
+    """Lines without those equal to the one before."""
+    return once(ls, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
-def keep_once(rows: DataFrame, head: Column, times: int = 6, most: int = 200, key: str = "doc_id") -> DataFrame:
+
+def keep_once(ls: Column, head: Callable[[Column], Column], times: int = 6, most: int = 200) -> Column:
     """Of a running head (a line that ``head`` marks, repeated ``times`` times) the first stays."""
-    same = Window.partitionBy(key, "line")
-    n, rank = F.count(F.lit(1)).over(same), F.row_number().over(same.orderBy("pos"))
-    return rows.withColumns({"n": n, "rank": rank}).filter(~((F.col("n") >= times) & (F.length("line") <= most) & head) | (F.col("rank") == 1)).drop("n", "rank")
 
+    def kept(a: Column) -> Column:
+        # Equal lines are neighbours once sorted.
+        heads = F.array_sort(F.filter(a, lambda x: (F.length(x) <= most) & head(x)))
+        often = once(heads, lambda h: F.array_distinct(F.filter(h, lambda x, i: F.get(h, i + (times - 1)) == x)))
+        return once(often, lambda o: F.filter(a, lambda x, i: ~F.array_contains(o, x) | (F.array_position(a, x) == i + 1)))
+
+    return once(ls, kept)
 
-def without_page_numbers(rows: DataFrame) -> DataFrame:
-    return rows.filter(~(F.col("line").rlike(PAGE_NUMBER) | F.lower("line").rlike(PAGE_LINE)))
 
+def without_page_numbers(ls: Column, page_lines: bool = True) -> Column:
+    def stays(x: Column) -> Column:
+        keep = ~x.rlike(PAGE_NUMBER)
+        return keep & ~F.lower(x).rlike(PAGE_LINE) if page_lines else keep
 
-def joined(rows: DataFrame, key: str = "doc_id", name: str = "clean_text") -> DataFrame:
-    return rows.groupBy(key).agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias(name))
+    return F.filter(ls, stays)
+
+
+def joined(ls: Column) -> Column:
+    return F.array_join(ls, "\n")
 
 
 def clean_pdf(docs: DataFrame, head: str = "qmmb", ocr: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Text from PDF or recognition without page numbers, running heads and doubled lines."""
-    rows = lines(docs, text, key)
-    rows = rows.filter(~F.col("line").rlike(PAGE_NUMBER)) if ocr else without_page_numbers(rows)
-    rows = keep_once(rows, F.lower("line").rlike(head), most=220 if ocr else 200, key=key)
-    return joined(collapse_adjacent(rows, key), key)
+    """key and clean_text: PDF or recognised text without page numbers, running heads and doubled lines.
+
+    Every rule looks at one text, so nothing is shuffled.
+    """
+    ls = without_page_numbers(lines(F.col(text)), page_lines=not ocr)
+    ls = keep_once(ls, lambda x: F.lower(x).rlike(head), most=220 if ocr else 200)
+    return docs.select(key, joined(collapse_adjacent(ls)).alias("clean_text")).filter("clean_text <> ''")

@@ -87,10 +87,13 @@ def context_lines(items: DataFrame, budget: int, line: str = "line", query: str
     """The items by pos that fit in ``budget`` characters with their line breaks.
 
     The first that doesn't fit is cut to what is left less 50 and marked; later ones go.
+    Lengths are summed first, so only texts that are used move.  query and pos name an item.
     """
     w = Window.partitionBy(query).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length(line) + 1).over(w), F.lit(0))
-    used = items.withColumn("used", before).filter(F.col("used") < budget)
+    sizes = items.select(query, "pos", F.length(line).alias("__n"))
+    before = F.coalesce(F.sum(F.col("__n") + 1).over(w), F.lit(0))
+    few = sizes.withColumn("used", before).filter(F.col("used") < budget).select(F.col(query).alias("__q"), F.col("pos").alias("__p"), "used")
+    used = items.join(few, F.col(query).eqNullSafe(F.col("__q")) & (F.col("pos") == F.col("__p"))).drop("__q", "__p")
     fits = F.col("used") + F.length(line) + 1 <= budget
     cut = F.concat(F.left(F.col(line), F.greatest(F.lit(0), F.lit(budget) - F.col("used") - 50).cast("int")), F.lit("\n..."))
     return used.withColumn(line, F.when(fits, F.col(line)).otherwise(cut)).drop("used")

@@ -12,8 +12,8 @@ from quarry.config import Settings
 from quarry.functions import urls
 
 
-def renumber(rows: DataFrame, *order: Column | str) -> DataFrame:
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+def renumber(rows: DataFrame, *order: Column | str, query: str = "query_id") -> DataFrame:
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
 
 
 def documents_only(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -21,10 +21,10 @@ def documents_only(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     return renumber(rows.filter(urls.is_document(F.col("url"), s) & ~urls.is_index(F.col("url"), s)), "pos")
 
 
-def first_of(rows: DataFrame, *key: str) -> DataFrame:
+def first_of(rows: DataFrame, *key: str, query: str = "query_id") -> DataFrame:
     """The first row of each key, in the order of the list."""
-    first = Window.partitionBy("query_id", *key).orderBy("pos")
-    return renumber(rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"), "pos")
+    first = Window.partitionBy(query, *key).orderBy("pos")
+    return renumber(rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"), "pos", query=query)
 
 
 def one_per_document(rows: DataFrame, old: tuple[str, ...] = ("old.", "test.")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
@@ -15,18 +15,23 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold_accents(c), F.lit(TOKEN), 1)
 
 
-def postings(rows: DataFrame, keys: list[str], columns: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """(term, keys, weighted frequency f; keys and length d) of the indexed columns.
+def postings(rows: DataFrame, keys: list[str], columns: dict[str, float], wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, keys, length d and weighted frequency f; keys and length d) of the indexed columns.
 
-    Each row is a unit of the index; columns gives each searchable column's weight.
+    Each row is a unit of the index; columns gives each searchable column's weight.  With
+    ``wanted`` (term) only those terms' tokens go on, before anything is grouped or shuffled:
+    a search shuffles its matches, not the corpus.  A token says nothing about how often a
+    term is wanted, so the terms are taken once each.
     """
-    long = None
-    for c, w in columns.items():
-        part = rows.select(*keys, F.lit(w).alias("w"), F.explode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("term"))
-        long = part if long is None else long.unionByName(part)
-    f = long.groupBy("term", *keys).agg(F.sum("w").alias("f"))
-    size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in list(columns)[1:]), F.size(tokens(F.coalesce(F.col(list(columns)[0]), F.lit("")))))
-    return f, rows.select(*keys, size.alias("d"))
+    def weighed(c: str, w: float) -> Column:
+        return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    all_ = rows.select(*keys, F.concat(*[weighed(c, w) for c, w in columns.items()]).alias("t")).select(*keys, F.size("t").alias("d"), "t")
+    long = all_.select(*keys, "d", F.explode("t").alias("t")).select(*keys, "d", "t.term", "t.w")
+    if wanted is not None:
+        long = long.join(wanted.select("term").distinct(), "term", "left_semi")
+    f = long.groupBy("term", *keys, "d").agg(F.sum("w").alias("f"))
+    return f, all_.select(*keys, "d")
 
 
 def terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -37,21 +42,60 @@ def terms(queries: DataFrame, query: str = "query") -> DataFrame:
 def bm25(freq: DataFrame, sizes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """query_id, keys and bm25 of the matching rows; lower is better.
 
-    Postings meet the query terms before any grouping; the statistics are those of the
-    whole index.  A term in most rows has the least weight, and a repeated one counts twice.
+    freq: term, keys, d and f, all of the index or at least the wanted terms'.  sizes: the
+    lengths d of all rows, or the one row (rows_all, avg_d) that an index stores.  The
+    statistics are those of the whole index.  A term in most rows has the least weight,
+    and a repeated one counts twice.
     """
-    stats = sizes.agg(F.count(F.lit(1)).alias("rows_all"), F.avg("d").alias("avg_d"))
+    stats = sizes if "rows_all" in sizes.columns else index_stats(sizes)
     some = freq.join(wanted.select("term").distinct(), "term", "left_semi")
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("rows_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.crossJoin(F.broadcast(stats)).select("term", "avg_d", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row
     each = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("avg_d")))
     return (
-        wanted.join(weight, "term").join(some, "term").join(sizes, keys)
+        wanted.join(weight, "term").join(some, "term")
         .groupBy("query_id", *keys).agg((F.round(-F.sum(each), 6) + 0.0).alias("bm25"))
     )
 
 
+def index_stats(sizes: DataFrame) -> DataFrame:
+    """rows_all and avg_d of an index in one row."""
+    return sizes.agg(F.count(F.lit(1)).alias("rows_all"), F.avg("d").alias("avg_d"))
+
+
+def stored_hits(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """query_id, keys and bm25 from the index that ``sinks.search_index`` has written.
+
+    Postings are sorted by term: up to ``most`` terms are given to the scan, which skips the
+    row groups without them; more are joined.
+    """
+    freq = spark.read.parquet(f"{path}/postings")
+    few = [r.term for r in wanted.select("term").distinct().limit(most + 1).collect()]
+    if len(few) <= most:
+        freq = freq.filter(F.col("term").isin(few))
+    return bm25(freq, spark.read.parquet(f"{path}/stats"), wanted, keys)
+
+
+def with_recency(hits: DataFrame, documents: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> DataFrame:
+    """hits with rank, bm25 with recency; a hit without a document counts as the base year."""
+    days = documents.select(key, "source_date")
+    return hits.join(days, key, "left").withColumn("rank", boosted(F.col("bm25"), F.col("source_date"), s)).drop("source_date")
+
+
+def over_fetched(hits: DataFrame, allowed: DataFrame, want: int, score: str, key: str, s: Settings = Settings(), query: str = "query_id") -> DataFrame:
+    """The best ``want`` hits that are allowed, from a wider candidate set.
+
+    ``candidate_multiplier`` times as many candidates as wanted, ``candidate_cap`` at most,
+    are looked up; the cap is the search's own setting.  Highest scores are best.
+    """
+    order = [F.desc(score), F.col(key)]
+    wide = min(max(want * s.candidate_multiplier, want), s.candidate_cap)
+    top = hits.withColumn("c", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("c") <= wide).drop("c")
+    left = top.join(allowed.select(key), key, "left_semi")
+    return left.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("pos") <= want)
+
+
 def boosted(bm: Column, day: Column, s: Settings = Settings()) -> Column:
     """Rank with recency: newer years are better, unknown ones count as the base year."""
     year = F.coalesce(F.year(day), F.lit(s.recency_base_year))
@@ -89,17 +133,26 @@ def snippet(text: Column, wanted: Column, size: int = 18) -> Column:
 def bm25_lite(queries: DataFrame, candidates: DataFrame, k1: float = 1.2, text: str = "text") -> DataFrame:
     """query_id, item_id and bm25 (higher is better) without length norm.
 
-    candidates: query_id, item_id and text.  N and df are those of each query's own
-    candidates; a term counts once however often the query has it.
+    candidates: item_id and text, with the query_id whose candidate a row is, or without one
+    where each row is a candidate of every query (a stated set).  N and df are those of each
+    query's own candidates; a term counts once however often the query has it.  Frequencies
+    are counted inside a row, so what is shuffled are numbers, no tokens.
     """
-    have = candidates.select("query_id", "item_id", F.explode(relevance_tokens(F.col(text))).alias("term")).groupBy("query_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(relevance_tokens(F.col("query")))).alias("term"))
-    hit = have.join(wanted, ["query_id", "term"])
-    df = hit.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_all"))
+    wanted = queries.select("query_id", F.array_distinct(relevance_tokens(F.col("query"))).alias("ts"))
+    if "query_id" in candidates.columns:
+        paired = candidates.join(wanted, "query_id", "left")
+    else:
+        paired = candidates.crossJoin(F.broadcast(wanted))  # the stated queries, once for each row
+    own = F.filter(relevance_tokens(F.col(text)), lambda t: F.array_contains(F.col("ts"), t))
+    some = paired.select("query_id", "item_id", own.alias("own"), "ts")
+    tf = F.filter(F.transform("ts", lambda t: F.struct(t.alias("term"), F.size(F.filter("own", lambda x: x == t)).alias("tf"))), lambda e: e["tf"] > 0)
+    counted = some.select("query_id", "item_id", F.coalesce(tf, F.array().cast("array<struct<term:string,tf:int>>")).alias("tf"))
+    n = counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_all"))
+    df = counted.select("query_id", F.explode("tf.term").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    score = hit.join(df, ["query_id", "term"]).join(n, "query_id").groupBy("query_id", "item_id").agg(
-        F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)).alias("s")
-    )
+    # One row for each query.
+    weights = df.join(n, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", idf))).alias("idf"))
+    each = F.transform("tf", lambda e: F.element_at(F.col("idf"), e["term"]) * e["tf"] * (k1 + 1) / (e["tf"] + k1))
+    score = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     # Candidates without a term keep a score of 0.
-    return candidates.select("query_id", "item_id").join(score, ["query_id", "item_id"], "left").select("query_id", "item_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("bm25"))
+    return counted.join(weights, "query_id", "left").select("query_id", "item_id", F.round(F.coalesce(score, F.lit(0.0)), 6).alias("bm25"))

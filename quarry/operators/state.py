@@ -6,11 +6,14 @@ and the changes, resolved by key.  Changes carry ``seq``, their order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.config import Settings
+from quarry.config import PRIORITY, Settings
 from quarry.functions.text import content_hash
+from quarry.storage import written
 
 QUEUE = "url string, doc_id string, reason string, priority int, scheduled_at timestamp, attempts int, last_error string, created_at timestamp, updated_at timestamp, seq long"
 
@@ -34,6 +37,15 @@ def enqueue(queue: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key, that with the greatest ``order``: merges must not multiply rows.
+
+    The partial aggregation runs before the shuffle; of rows equal in order one stays.
+    """
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*").select(*rows.columns)
+
+
 def dequeue(queue: DataFrame, now: Column, limit: int) -> DataFrame:
     """Due rows, highest priority first, then earliest; nothing is locked or changed."""
     return queue.filter(F.col("scheduled_at") <= now).orderBy(F.desc("priority"), "scheduled_at", "url").limit(limit)
@@ -42,9 +54,11 @@ def dequeue(queue: DataFrame, now: Column, limit: int) -> DataFrame:
 def mark_attempt(queue: DataFrame, failed: DataFrame, now: Column, backoff_days: int = 1) -> DataFrame:
     """One attempt more, with its error, for the urls of failed (url, error).
 
-    The row is due again after a pause that doubles, so a drain of due rows ends.
+    A url that failed several times in a run counts once, with the last error by name.  The
+    row is due again after a pause that doubles, so a drain of due rows ends.
     """
-    joined = queue.join(failed.select("url", F.col("error").alias("e"), F.lit(True).alias("hit")), "url", "left")
+    once_ = failed.groupBy("url").agg(F.max("error").alias("e"), F.lit(True).alias("hit"))
+    joined = queue.join(once_, "url", "left")
     later = F.timestamp_add("DAY", (F.lit(backoff_days) * F.pow(F.lit(2), F.least("attempts", F.lit(10)))).cast("int"), now)
     hit = F.coalesce("hit", F.lit(False))
     return joined.withColumns(
@@ -64,9 +78,9 @@ def remove(queue: DataFrame, done: DataFrame) -> DataFrame:
 def placeholders(documents: DataFrame, seen: DataFrame) -> DataFrame:
     """Documents with rows for the ids seen: new url, known fields never lost to nulls.
 
-    seen: doc_id, url, title, lang, source_date, now; one row a document.
+    seen: doc_id, url, title, lang, source_date, now; of a document's rows the latest counts.
     """
-    s = seen.select("doc_id", *[F.col(c).alias(f"n_{c}") for c in ("url", "title", "lang", "source_date", "now")])
+    s = latest(seen.select("doc_id", "url", "title", "lang", "source_date", "now"), "doc_id", "now").select("doc_id", *[F.col(c).alias(f"n_{c}") for c in ("url", "title", "lang", "source_date", "now")])
     joined = documents.join(s, "doc_id", "full_outer")
     out = {c: F.coalesce(f"n_{c}", c) for c in ("url", "title", "lang", "source_date")}
     out |= {"first_seen_at": F.coalesce("first_seen_at", "n_now"), "last_seen_at": F.coalesce("n_now", "last_seen_at"), "status": F.coalesce("status", F.lit("new"))}
@@ -80,16 +94,18 @@ def recheck_due(documents: DataFrame, now: Column, limit: int) -> DataFrame:
 
 def schedule_rechecks(queue: DataFrame, documents: DataFrame, now: Column, limit: int, seq: int) -> DataFrame:
     due = recheck_due(documents, now, limit)
-    return enqueue(queue, due.select("url", "doc_id", F.lit("recheck").alias("reason"), F.lit(1).alias("priority"), now.alias("scheduled_at"), now.alias("now"), F.lit(seq).cast("long").alias("seq")))
+    return enqueue(queue, due.select("url", "doc_id", F.lit("recheck").alias("reason"), F.lit(PRIORITY["recheck"]).alias("priority"), now.alias("scheduled_at"), now.alias("now"), F.lit(seq).cast("long").alias("seq")))
 
 
 def record_fetch(documents: DataFrame, results: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Documents after fetches: results has doc_id, error, skipped, changed, content_hash, etag, now.
 
     An error is kept (2000 characters) and retried soon; a skipped page waits as long as
-    a good one and says so; a hash or tag that didn't come stays as it was.
+    a good one and says so; a hash or tag that didn't come stays as it was.  Of a document's
+    results the latest counts.
     """
-    r = results.select("doc_id", *[F.col(c).alias(f"n_{c}") for c in ("error", "skipped", "changed", "content_hash", "etag", "now")])
+    one = latest(results.select("doc_id", "error", "skipped", "changed", "content_hash", "etag", "now"), "doc_id", "now")
+    r = one.select("doc_id", *[F.col(c).alias(f"n_{c}") for c in ("error", "skipped", "changed", "content_hash", "etag", "now")])
     j = documents.join(r, "doc_id", "left")
     hit, bad = F.col("n_now").isNotNull(), F.col("n_error").isNotNull()
     skipped = F.coalesce("n_skipped", F.lit(False))
@@ -158,11 +174,43 @@ def stats(documents: DataFrame, queue: DataFrame, chunks: DataFrame, vectors: Da
     return out
 
 
+def plan_run(queue: DataFrame, documents: DataFrame, found: DataFrame, now: Column, s: Settings = Settings(), seq: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(queue, batch) of a run: what discovery found and what is due again are queued, then the first are taken.
+
+    found: url, doc_id.  Calendar pages come before backfill, and both before rechecks.
+    """
+    new = found.select("url", "doc_id", F.lit("calendar").alias("reason"), F.lit(PRIORITY["calendar"]).alias("priority"), now.alias("scheduled_at"), now.alias("now"), F.lit(seq).cast("long").alias("seq"))
+    queued = schedule_rechecks(enqueue(queue, new), documents, now, s.rechecks_per_run, seq)
+    return queued, dequeue(queued, now, s.docs_per_run)
+
+
+def finish_run(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The queue after a run: urls without error go, the others wait (url, error)."""
+    return mark_attempt(remove(queue, outcomes.filter("error IS NULL")), outcomes.filter("error IS NOT NULL"), now)
+
+
+def drain(queue: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: Column, *, batch: int = 20, rounds: int = 1000) -> DataFrame:
+    """The queue after due rows have been fetched ``batch`` at a time, until none is due.
+
+    fetch gives url and error (null if well) of a batch.  Failed rows wait, so each is tried
+    once, and ``rounds`` bounds the loop whatever fetch does.
+    """
+    queue = written(queue)
+    for _ in range(rounds):
+        due = written(dequeue(queue, now, batch))
+        if not due.limit(1).count():
+            break
+        outcomes = written(fetch(due).select("url", "error"))
+        silent = due.join(outcomes, "url", "left_anti").select("url", F.lit("no result").alias("error"))
+        queue = written(finish_run(queue, outcomes.unionByName(silent), now))
+    return queue
+
+
 def backfill(queue: DataFrame, start: str, end: str, base: str, now: Column, seq: int, language: str = "uz") -> DataFrame:
     """The queue with calendar pages from start to end, both included, in either order."""
     from quarry.functions.urls import calendar_url
 
     a, b = sorted((start, end))
     days = queue.sparkSession.sql(f"SELECT explode(sequence(DATE'{a}', DATE'{b}')) AS day")
-    new = days.select(calendar_url(F.lit(base), F.col("day"), language).alias("url"), F.lit(None).cast("string").alias("doc_id"), F.lit("backfill").alias("reason"), F.lit(2).alias("priority"), now.alias("scheduled_at"), now.alias("now"), F.lit(seq).cast("long").alias("seq"))
+    new = days.select(calendar_url(F.lit(base), F.col("day"), language).alias("url"), F.lit(None).cast("string").alias("doc_id"), F.lit("backfill").alias("reason"), F.lit(PRIORITY["backfill"]).alias("priority"), now.alias("scheduled_at"), now.alias("now"), F.lit(seq).cast("long").alias("seq"))
     return enqueue(queue, new)

@@ -12,6 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 PASSAGE, QUERY = "passage: ", "query: "
 
 
@@ -30,16 +32,21 @@ def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic stand-in for a model: signed counts of hashed words."""
+    """A deterministic stand-in for a model: signed counts of words by the first 32 bits of their MD5."""
 
     def embed(texts: list[str]) -> np.ndarray:
+        import hashlib
         import re
-        import zlib
 
+        known: dict[str, int] = {}
         out = np.zeros((len(texts), dim), np.float32)
         for i, t in enumerate(texts):
             for w in re.findall(r"[^\W_]+", t.lower()):
-                h = zlib.crc32(w.encode())
+                h = known.get(w)
+                if h is None:
+                    if len(known) > 100_000:
+                        known.clear()
+                    h = known[w] = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4])
                 out[i, h % dim] += 1.0 if h >> 31 else -1.0
         return out
 
@@ -63,13 +70,17 @@ def embed(rows: DataFrame, text: str = "chunk_text", prefix: str = PASSAGE, norm
 
 
 def half_precision(a: Column) -> Column:
-    """Vectors as they are after storage in 16 bits."""
+    """Vectors as they are after storage in 16 bits: ten binary places, halves to even."""
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else np.asarray(v, np.float16).astype(np.float32))
+    def one(x: Column) -> Column:
+        v = x.cast("double")
+        # Steps double with each power of two, and are the same below 2 ** -14.
+        place = F.greatest(F.floor(F.log2(F.greatest(F.abs(v), F.lit(2.0**-24)))), F.lit(-14)) - 10
+        step = F.pow(F.lit(2.0), place)
+        near = F.rint(v / step) * step
+        return F.when(F.abs(near) >= 65520, F.signum(v) * float("inf")).otherwise(near).cast("float")
 
-    return run(a)
+    return F.transform(a, one)
 
 
 def active(vectors: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
@@ -77,6 +88,22 @@ def active(vectors: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
     return vectors.filter((F.col("active") == 1) & (F.size("embedding") == dim)).join(chunks.filter("active = 1").select("chunk_id"), "chunk_id", "left_semi")
 
 
+def rebuilt(vectors: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
+    """vector_id and embedding of the index made anew: active vectors of its dimension."""
+    return active(vectors, chunks, dim).select("vector_id", "embedding")
+
+
+def removed(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without the vectors of gone (vector_id)."""
+    return index.join(gone.select("vector_id"), "vector_id", "left_anti")
+
+
+def vectors_of(chunks: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """vector_id and doc_id of the active vectors of documents: what an update retires."""
+    mine = chunks.filter("active = 1").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id", "doc_id")
+    return vectors.filter("active = 1").join(mine, "chunk_id").select("vector_id", "doc_id")
+
+
 def appended(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     """The index with new vectors in place of those with their ids; other dimensions are an error."""
     checked = new.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit("vector of another dimension"))))
@@ -88,8 +115,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosi
 
     Vectors stream through each task in blocks; a task multiplies a block with the query
     matrix and keeps k candidates a query, so what is shuffled is tasks * queries * k rows.
-    The driver reads ``at_once`` queries at a time; where there are more, a block's hits are
-    checkpointed before the next is read.  Scores are rounded to 6 places and ties go by id.
+    The driver reads ``at_once`` queries at a time, so their matrix has a bound; where there are
+    more, a block's hits are written to the shared folder before the next is read.  Scores are
+    rounded to 6 places and ties go by id.
     """
     rows = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator()
     part, found = list(islice(rows, at_once)), None
@@ -97,7 +125,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosi
         following = list(islice(rows, at_once))
         hits, shared = _candidates(part, vectors, k, metric, block)
         if found is not None or following:
-            kept = hits.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else hits.localCheckpoint()
+            kept = written(hits)
             shared.destroy()
             found = kept if found is None else found.unionByName(kept)
         else:

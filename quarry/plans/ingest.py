@@ -29,9 +29,8 @@ class Snapshot:
 def clean_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, title and text of HTML pages, by tree and line rules."""
     raw = html.extracted(pages, "lines", key=key)
-    rows = lines.collapse_adjacent(lines.without_controls(lines.lines(raw, "text", key)), key)
-    texts = lines.joined(rows, key, "text")
-    return raw.select(key, normalize_ws(F.col("title")).alias("title")).join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    clean = lines.joined(lines.collapse_adjacent(lines.without_controls(lines.lines(F.col("text")))))
+    return raw.select(key, normalize_ws(F.col("title")).alias("title"), F.coalesce(clean, F.lit("")).alias("text"))
 
 
 def best_candidates(candidates: DataFrame, s: Settings = Settings()) -> DataFrame:

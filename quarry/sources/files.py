@@ -9,18 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import html, urls
 from quarry.operators.chunking import windows
-from quarry.functions.text import normalize_search, words
+from quarry.functions.text import normalize_search, once, words
+from quarry.operators.results import first_of
 
 
 def html_folder(spark: SparkSession, root: str, url_template: str = "https://docs.example.org/docs/{id}") -> DataFrame:
     """path, doc_id, url and html of the .html and .htm files under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.html?$"))
+    return html_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), url_template)
+
+
+def html_files(found: DataFrame, url_template: str = "https://docs.example.org/docs/{id}") -> DataFrame:
+    """``html_folder`` for files (path, content) of any kind."""
+    files = found.filter(F.lower("path").rlike(r"\.html?$"))
     doc = urls.path_id(F.col("path"))
     before, after = url_template.split("{id}")
     return files.select("path", doc.alias("doc_id"), F.concat(F.lit(before), doc, F.lit(after)).alias("url"), F.decode("content", "UTF-8").alias("html"))
@@ -35,7 +40,11 @@ def index_rows(pages: DataFrame, size: int = 350, overlap: int = 60) -> DataFram
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a JSON array; missing fields are empty and the URL stands in for the id."""
-    raw = spark.read.schema("doc_id string, url string, title string, text string").json(path, multiLine=True)
+    return filled_documents(spark.read.schema("doc_id string, url string, title string, text string").json(path, multiLine=True))
+
+
+def filled_documents(raw: DataFrame) -> DataFrame:
+    """raw with empty texts for missing fields and the URL for a missing id."""
     filled = {c: F.coalesce(c, F.lit("")) for c in ("url", "title", "text")}
     return raw.withColumns(filled).withColumn("doc_id", F.coalesce(F.nullif("doc_id", F.lit("")), "url"))
 
@@ -75,12 +84,14 @@ def provided(rows: DataFrame, provider: Callable | None, schema: str) -> DataFra
 FETCHED = "url string, status int, content_type string, etag string, html string, content binary"
 
 
-def search_results(found: DataFrame, cap: int = 50, title: int = 140, snippet: int = 220) -> DataFrame:
-    """Results of a search provider as a list: each URL once, titles and snippets cut."""
-    from quarry.operators.results import first_of
+def search_results(found: DataFrame, cap: int | None = None, title: int = 140, snippet: int = 220) -> DataFrame:
+    """Results of a search provider as a list: each URL once, titles and snippets cut.
 
+    All results stay unless ``cap`` says how many of a query are wanted.
+    """
     clean = found.withColumn("url", urls.redirect_target(F.col("url"))).filter("url <> ''")
-    named = first_of(clean, "url").filter(F.col("pos") <= cap)
+    named = first_of(clean, "url")
+    named = named.filter(F.col("pos") <= cap) if cap else named
     heading = F.coalesce(F.nullif(F.left(F.coalesce("title", F.lit("")), F.lit(title)), F.lit("")), urls.document_title(F.col("url")))
     return named.withColumns({"title": heading, "snippet": F.left(F.coalesce("snippet", F.lit("")), F.lit(snippet)), "label": urls.label(F.col("url"))})
 
@@ -88,18 +99,42 @@ def search_results(found: DataFrame, cap: int = 50, title: int = 140, snippet: i
 def parse_results(pages: DataFrame, query: str = "query_id") -> DataFrame:
     """query_id, pos, url, title and snippet from search result pages (query_id, html).
 
-    Links of class result__a with the snippet that follows, else any outside link.
+    Links of class result__a (or result__url) with the snippet that follows; without any,
+    redirecting links of a class for results; without any, all redirecting links.  Each URL
+    counts where it is first.
     """
-    a = r"""(?s)<a [^>]*class=["'][^"']*result__a[^"']*["'][^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>(?:(?!result__a).)*?(?:result__snippet[^>]*>(.*?)</)?"""
-    plain = r"""(?s)<a [^>]*href=["'](https?://[^"']*)["'][^>]*>(.*?)</a>()"""
+    # A part begins with an anchor's attributes and ends before the next anchor.
+    parts = F.slice(F.split("html", r"(?i)<a(?=\s)"), 2, 1 << 30)
+
+    def link(part: Column, i: Column, all_: Column) -> Column:
+        attributes = F.regexp_extract(part, "^([^>]*)>", 1)
+
+        def attribute(name: str) -> Column:
+            return F.regexp_extract(attributes, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)
 
-    def rows(pattern: str) -> Column:
-        return F.arrays_zip(*[F.regexp_extract_all("html", F.lit(pattern), i).alias(n) for i, n in ((1, "url"), (2, "title"), (3, "snippet"))])
+        own = F.regexp_extract(part, r"(?s)result__snippet[^>]*>(.*?)</", 1)
+        later = F.coalesce(F.get(all_, i + 1), F.lit(""))
+        after = F.when(F.contains(F.regexp_extract(later, "^([^>]*)>", 1), F.lit("result__snippet")), F.regexp_extract(later, r"(?s)^[^>]*>(.*?)</a>", 1)).otherwise("")
+        return F.struct(
+            F.trim(attribute("href")).alias("url"), attribute("class").alias("class"),
+            F.regexp_extract(part, r"(?s)^[^>]*>(.*?)</a>", 1).alias("title"), F.when(own != "", own).otherwise(after).alias("snippet"),
+        )
 
-    both = F.when(F.size(rows(a)) > 0, rows(a)).otherwise(rows(plain))
-    return pages.select(query, F.posexplode(both).alias("p", "r")).select(
-        query, (F.col("p") + 1).alias("pos"), F.col("r.url").alias("url"), html.strip_tags(F.col("r.title"), ()).alias("title"), html.strip_tags(F.col("r.snippet"), ()).alias("snippet")
-    )
+    def found(all_: Column) -> Column:
+        return F.filter(F.transform(all_, lambda p, i: link(p, i, all_)), lambda x: x["url"] != "")
+
+    def chosen(x: Column) -> Column:
+        named = F.filter(x, lambda e: F.array_contains(F.split(e["class"], r"\s+"), "result__a") | F.array_contains(F.split(e["class"], r"\s+"), "result__url"))
+        redirects = F.filter(x, lambda e: F.contains(e["url"], F.lit("uddg=")))
+        classed = F.filter(redirects, lambda e: F.contains(e["class"], F.lit("result")))
+        return F.when(F.size(named) > 0, named).when(F.size(classed) > 0, classed).otherwise(redirects)
+
+    rows = pages.select(query, F.posexplode(once(once(parts, found), chosen)).alias("pos", "r"))
+    plain = rows.select(
+        query, "pos", urls.redirect_target(F.regexp_replace("r.url", "&amp;", "&")).alias("url"),
+        html.unescaped(html.strip_tags(F.col("r.title"), ())).alias("title"), html.unescaped(html.strip_tags(F.col("r.snippet"), ())).alias("snippet"),
+    )
+    return first_of(plain, "url", query=query)
 
 
 def page_texts(pages: DataFrame, most: int | None = None, page: str = "html") -> DataFrame:
@@ -110,12 +145,5 @@ def page_texts(pages: DataFrame, most: int | None = None, page: str = "html") ->
 
 def robots(rows: DataFrame, column: str = "robots") -> DataFrame:
     """rows with crawl_delay of their robots.txt."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html.crawl_delay)
-
-    return rows.withColumn("crawl_delay", run(F.col(column)))
-
-
+    return rows.withColumn("crawl_delay", html.crawl_delay_of(F.col(column)))
 

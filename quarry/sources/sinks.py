@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import iso, normalize_search
-from quarry.operators.search import postings
+from quarry.operators.search import index_stats, postings
 from quarry.config import Settings
 
 
 def search_index(chunks: DataFrame, documents: DataFrame, path: str, s: Settings = Settings()) -> None:
-    """Write the keyword index: rows, postings sorted by term, and sizes.
+    """Write the keyword index: rows, postings sorted by term, and its statistics.
 
     Only active chunks with text are indexed.  Sorted postings let a scan for a term skip
-    the row groups without it.
+    the row groups without it; ``search.stored_hits`` reads them.
     """
     rows = (
         chunks.filter("active = 1").join(documents.select("doc_id", "url", "title"), "doc_id")
@@ -24,7 +24,7 @@ def search_index(chunks: DataFrame, documents: DataFrame, path: str, s: Settings
     f, d = postings(rows, ["doc_id", "chunk_index"], {"title": s.title_weight, "text": s.text_weight})
     rows.write.mode("overwrite").parquet(f"{path}/rows")
     f.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    d.write.mode("overwrite").parquet(f"{path}/sizes")
+    index_stats(d).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def embeddings(rows: DataFrame, path: str) -> None:
@@ -36,13 +36,27 @@ def vectors(rows: DataFrame, path: str) -> None:
     rows.select("vector_id", "embedding").write.mode("overwrite").parquet(path)
 
 
+def manifest(documents: DataFrame, since: str) -> DataFrame:
+    """What an export has: a row for each document with a text that was fetched since then."""
+    some = documents.filter((F.col("last_fetched_at") >= F.lit(since).cast("timestamp")) & F.col("clean_text").isNotNull() & (F.col("clean_text") != ""))
+    return some.select("doc_id", "url", "title", iso(F.col("last_changed_at")).alias("last_changed_at"), iso(F.col("last_fetched_at")).alias("last_fetched_at"), F.concat("doc_id", F.lit(".txt")).alias("file"))
+
+
 def corpus(documents: DataFrame, path: str, since: str) -> DataFrame:
     """Write texts and manifest of the documents fetched since then; returns the manifest.
 
-    Documents without a text are skipped.  The manifest is newest first by pos.
+    Texts are Parquet rows (file, value) sorted by file, so that one is found by its
+    statistics: a file or folder for each document would not hold up.  ``text_files`` makes
+    plain files of some.  The manifest is newest first.
     """
-    some = documents.filter((F.col("last_fetched_at") >= F.lit(since).cast("timestamp")) & F.col("clean_text").isNotNull() & (F.col("clean_text") != ""))
-    some.select(F.col("clean_text").alias("value"), "doc_id").write.mode("overwrite").partitionBy("doc_id").text(f"{path}/texts")
-    manifest = some.select("doc_id", "url", "title", iso(F.col("last_changed_at")).alias("last_changed_at"), iso(F.col("last_fetched_at")).alias("last_fetched_at"), F.concat("doc_id", F.lit(".txt")).alias("file"))
-    manifest.orderBy(F.desc("last_fetched_at"), "doc_id").write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    listed = manifest(documents, since)
+    texts = documents.join(listed.select("doc_id", "file"), "doc_id").select("file", F.col("clean_text").alias("value"))
+    texts.repartitionByRange("file").sortWithinPartitions("file").write.mode("overwrite").parquet(f"{path}/texts")
+    listed.orderBy(F.desc("last_fetched_at"), "doc_id").write.mode("overwrite").json(f"{path}/manifest")
+    return listed
+
+
+def text_files(spark: SparkSession, path: str, doc_ids: list[str], out: str) -> None:
+    """Exported texts of the documents named, each in its folder under out, as plain text."""
+    some = spark.read.parquet(f"{path}/texts").filter(F.col("file").isin([f"{d}.txt" for d in doc_ids]))
+    some.repartition("file").write.mode("overwrite").partitionBy("file").text(out)
