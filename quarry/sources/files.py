@@ -81,9 +81,6 @@ def provided(rows: DataFrame, provider: Callable | None, schema: str) -> DataFra
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
 
 
-FETCHED = "url string, status int, content_type string, etag string, html string, content binary"
-
-
 def search_results(found: DataFrame, cap: int | None = None, title: int = 140, snippet: int = 220) -> DataFrame:
     """Results of a search provider as a list: each URL once, titles and snippets cut.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +48,38 @@ def released(*frames: DataFrame) -> None:
     for df in frames:
         at, files = place(df.sparkSession, df._quarry_path)
         files.delete(at, True)
+
+
+class RunLock:
+    """An exclusive lock file in a shared folder: one run at a time; an old lock has expired.
+
+    with RunLock(spark, path): ...
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ttl: float = 3600.0):
+        self.spark, self.path, self.ttl = spark, path, ttl
+        self.at, self.files = place(spark, path)
+
+    def acquire(self) -> bool:
+        """Whether the lock is ours now."""
+        if self.files.exists(self.at):
+            age = time.time() - self.files.getFileStatus(self.at).getModificationTime() / 1000
+            if age < self.ttl:
+                return False
+            self.files.delete(self.at, False)
+        try:
+            self.files.create(self.at, False).close()  # fails where another run was first
+        except Py4JJavaError:
+            return False
+        return True
+
+    def release(self) -> None:
+        self.files.delete(self.at, False)
+
+    def __enter__(self) -> RunLock:
+        if not self.acquire():
+            raise RuntimeError(f"another run holds {self.path}")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()

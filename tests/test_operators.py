@@ -155,3 +155,122 @@ def test_sources(spark, tmp_path):
     assert [r.url for r in days] == ["https://e.org/calendar?date=01.03.2024&lang=uz", "https://e.org/calendar?date=29.02.2024&lang=uz"]
     page = spark.createDataFrame([(datetime.date(2024, 3, 1), '<a class="x" href="/docs/5#a">a</a><a href="/other">'), (datetime.date(2024, 2, 29), "<a href='/docs/5'>")], "day date, html string")
     assert [tuple(r) for r in files.document_links(page, "https://e.org").collect()] == [("https://e.org/docs/5", datetime.date(2024, 3, 1), "5")]
+
+
+def test_snapshot_buckets_and_versions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = [(str(i), f"u{i}", f"t{i}", _text(i), None, None) for i in range(12)]
+    said = []
+    for batch, part in enumerate((rows[:6], rows[6:9], [("1", "u1", "t1", _text(50), None, None)], rows[9:], rows[:2])):
+        streaming.merge_batch(_fetched(spark, part), batch, path, now="2024-03-01 00:00:00", notify=lambda df: said.append({r.doc_id: r.message for r in df.collect()}), buckets=4, kept=2)
+    assert streaming.versions(spark, path)[-2:] == [3, 4]
+    got = streaming.read_snapshot(spark, path)
+    assert sorted(r.doc_id for r in got.documents.collect()) == sorted(str(i) for i in range(12))
+    assert got.documents.count() == 12 and got.chunks.filter("active = 1").count() == 12
+    assert said[0]["2"] == "New document\nt2\nu2\nchunks: 1" and list(said[2]) == ["1"] and said[2]["1"].startswith("Updated document")
+    # The fourth batch put the first text back; a batch run again changes nothing.
+    before = sorted(map(str, got.documents.collect()))
+    streaming.merge_batch(_fetched(spark, rows[:2]), 4, path, now="2024-03-01 00:00:00", buckets=4, kept=2)
+    assert sorted(map(str, streaming.read_snapshot(spark, path).documents.collect())) == before
+
+
+def test_one_row_a_key(spark):
+    t = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
+    docs = spark.createDataFrame([("1", "ok", t[0])], "doc_id string, status string, next_recheck_at timestamp")
+    full = docs.select("doc_id", "status", "next_recheck_at", *[F.lit(None).cast(k).alias(c) for c, k in (("last_error", "string"), ("last_fetched_at", "timestamp"), ("last_changed_at", "timestamp"), ("content_hash", "string"), ("etag", "string"))])
+    seen = spark.createDataFrame([("1", None, False, True, "a", None, t[1]), ("1", "late", False, False, None, None, t[2])], "doc_id string, error string, skipped boolean, changed boolean, content_hash string, etag string, now timestamp")
+    assert [(r.status, r.last_error) for r in state.record_fetch(full, seen).collect()] == [("error", "late")]
+    queue = state.enqueue(spark.createDataFrame([], state.QUEUE), spark.createDataFrame([("a", None, "x", 1, t[0], t[0], 1)], "url string, doc_id string, reason string, priority int, scheduled_at timestamp, now timestamp, seq long"))
+    failed = spark.createDataFrame([("a", "e1"), ("a", "e2")], "url string, error string")
+    assert [(r.attempts, r.last_error) for r in state.mark_attempt(queue, failed, now()).collect()] == [(1, "e2")]
+
+
+def test_fetching(spark):
+    from quarry.sources.http import FETCHED, Fetcher
+
+    asked, slept = [], []
+
+    def get(url, headers, timeout):
+        asked.append((url, headers.get("If-None-Match")))
+        if url == "b" and len([u for u, _ in asked if u == "b"]) < 3:
+            raise TimeoutError("slow")
+        return {"a": (200, {"content-type": "text/html", "etag": "1"}, b"<p>"), "b": (200, {}, b"x"), "c": (304, {}, b""), "d": (503, {}, b""), "e": (403, {}, b"")}[url]
+
+    f = Fetcher(get=get, sleep=slept.append)
+    assert f.fetch("a") == ("a", 200, "text/html", "1", None, b"<p>", None)
+    assert f.fetch("b")[5] == b"x" and f.fetch("c", "tag")[1:2] == (304,) and ("c", "tag") in asked
+    assert f.fetch("d")[-1] == "HTTP 503" and [u for u, _ in asked].count("d") == 3
+    assert f.fetch("e")[-1] == "HTTP 403" and [u for u, _ in asked].count("e") == 1
+    assert {1.0, 2.5, 4.0} <= set(slept)
+    rows = files.provided(spark.createDataFrame([("a",)], "url string"), None, FETCHED)
+    assert rows.first().asDict()["content"] is None
+
+
+def test_pdf_texts():
+    import zlib
+
+    from quarry.sources import pdf
+
+    def file(body, flate):
+        data = zlib.compress(body) if flate else body
+        return b"%PDF-1.4\n1 0 obj << /Length 9 " + (b"/Filter /FlateDecode " if flate else b"") + b">> stream\n" + data + b"\nendstream endobj"
+
+    body = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\)) Tj ( world) Tj 0 -14 Td [(Wo) -20 (rd) -300 <6E6578 74>] TJ T* (caf\351) Tj ET"
+    for flate in (True, False):
+        assert pdf.text_layer(file(body, flate)) == "Hello (big) world\nWord next\ncafé"
+    assert pdf.text_layer(b"no pdf") == "" and pdf.text_layer(file(b"garbage", False)) == ""
+
+    def broken(_):
+        raise ValueError
+
+    assert pdf.first_text(b"x", [broken, lambda c: "  ", lambda c: "found", lambda c: "late"]) == "found" and pdf.first_text(b"x", [broken]) is None
+    assert pdf.recognised([b"a", b"!", b"b", b"c"], lambda p: p.decode() if p != b"!" else broken(p), most=3) == "a\nb"
+    states = iter([("running", None), ("succeeded", ":selected: yes :unselected: no")])
+    assert pdf.polled(b"x", lambda c: "job", lambda j: next(states), sleep=lambda s: None) == "yes  no"
+    assert pdf.polled(b"x", lambda c: "job", lambda j: ("failed", None), sleep=lambda s: None) is None
+    ticks = iter(range(100))
+    assert pdf.polled(b"x", lambda c: "job", lambda j: ("running", None), timeout=5, clock=lambda: next(ticks), sleep=lambda s: None) is None
+
+
+def test_run_lock(spark, tmp_path):
+    from quarry.storage import RunLock
+
+    a, b = (RunLock(spark, str(tmp_path / "lock")) for _ in range(2))
+    assert a.acquire() and not b.acquire()
+    a.release()
+    assert b.acquire() and RunLock(spark, str(tmp_path / "lock"), ttl=-1).acquire()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry import cli
+
+    rows = [(str(i), f"https://docs.example.org/docs/{i}", f"title {i}", _text(i) + f" needle{i % 3}", None, None) for i in range(6)]
+    _fetched(spark, rows).write.parquet(str(tmp_path / "pages"))
+    path = str(tmp_path / "s")
+
+    def run(*words):
+        assert cli.main(["--path", path, *words]) == 0
+        return capsys.readouterr().out
+
+    run("run-once", str(tmp_path / "pages"), "--batch", "0")
+    run("rebuild-index")
+    assert "[needle1]" in run("search", "needle1") and "version 1" in run("force-recheck", "--doc-id", "3")
+    assert streaming.read_snapshot(spark, path).documents.filter("next_recheck_at <= current_timestamp()").select("doc_id").collect()[0].doc_id == "3"
+    run("backfill", "2024-01-05", "2024-01-01")
+    assert "|        6|    5|" in run("stats")
+    assert "title 2" in run("show-doc", "title 2") and "content_hash string" in run("schema") and "doc_id" in run("chunk-counts")
+    assert '"responder": "results"' in run("ask", "needle1 where?") and '"blocks"' in run("ask", "needle2", "--structured")
+    assert cli.ask(spark, path, "{}") == {"error": "question is missing"} and cli.ask(spark, path, "x") == {"error": "request is not JSON"}
+    run("export-corpus", str(tmp_path / "out"))
+    from quarry.sources import sinks
+
+    sinks.text_files(spark, str(tmp_path / "out"), ["4"], str(tmp_path / "plain"))
+    assert next((tmp_path / "plain" / "file=4.txt").glob("part*")).read_text().strip() == rows[4][3]
+
+
+def test_approximate_search_recall(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vectors.top_k(q, v, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in vectors.approximate_top_k(q, v, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
