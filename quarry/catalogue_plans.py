@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarry.functions import answers
+from quarry import catalogue
 from quarry.operators import chunking, ranking, results, search, state, vectors
 from quarry.plans import answer, ingest, retrieve
-from quarry.registry import query, table
+from quarry.registry import SQL, query, table
 from quarry.sources import sinks
 from quarry.storage import place, shared_dir, written
 
@@ -285,6 +285,31 @@ def full_document_search(spark, sf_dir):
     return retrieve.full_documents(q, p.withColumn("snippet", F.lit("s"))).select("query_id", "url", "pos")
 
 
+def _two_stage_sql() -> str:
+    """The scored stage over chunks of pages, then diversity and caps."""
+    body = catalogue._STRIP.format(c="html")
+    rows = f"""
+WITH q AS (SELECT query_id, 'the ' || w || ' and' AS query FROM (VALUES (0, 'with'), (1, 'que'), (2, 'nicht'), (3, 'para'), (4, 'from')) AS v(query_id, w)),
+pg AS (SELECT page_id % 5 AS query_id, url, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title, {body} AS text FROM pages),
+t AS (SELECT query_id, url, title, left(text, 220) AS snippet, text, regexp_extract_all(text, '\\bThe\\b') AS heads, regexp_split_to_array(text, '\\bThe\\b') AS bodies, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM pg),
+blocks AS (SELECT query_id, url, title, snippet, i - 1 AS i, trim(heads[i] || ' ' || bodies[i + 1]) AS block FROM (SELECT *, unnest(generate_series(1, len(heads))) AS i FROM t WHERE len(heads) >= 2)
+  UNION ALL SELECT query_id, url, title, snippet, i, CASE WHEN len(ws) <= 150 THEN text ELSE array_to_string(list_slice(ws, i * 130 + 1, i * 130 + 150), ' ') END
+  FROM (SELECT *, unnest(generate_series(0, CASE WHEN len(ws) <= 150 THEN 0 ELSE CAST(ceil((len(ws) - 150) / 130.0) AS BIGINT) END)) AS i FROM t WHERE len(heads) < 2 AND text <> '')),
+rows AS (SELECT query_id, url, CAST(i AS INTEGER) AS chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY url, i) AS item_id, title || ' ' || snippet || ' ' || block AS text FROM blocks),
+"""
+    stage = _STAGE.split("{where}),\n", 1)[1].format().replace("h AS (SELECT b.*,", "h AS (SELECT b.*, cos,")
+    vector = "SELECT query_id, item_id, list(coalesce(x, 0.0) ORDER BY g.i) AS v FROM (SELECT query_id, item_id, i FROM o, generate_series(0, 63) AS k(i) WHERE r <= 15) g LEFT JOIN er USING (query_id, item_id, i) GROUP BY ALL"
+    unit = "CASE WHEN list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) > 0 THEN list_transform(CAST(v AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))) ELSE CAST(v AS DOUBLE[]) END"
+    pool = f"SELECT query_id, item_id, cos AS score, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS r, {unit} AS u FROM o JOIN vs USING (query_id, item_id) WHERE o.r <= 15"
+    return rows + stage + f", vs AS ({vector}), " + catalogue._mmr_sql(pool) + """,
+g AS (SELECT query_id, m.pos, url, chunk_index, score, row_number() OVER (PARTITION BY query_id, url ORDER BY m.pos) AS g FROM mmr m JOIN o USING (query_id, item_id) JOIN (SELECT query_id, item_id, chunk_index FROM rows) USING (query_id, item_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM g WHERE g <= 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(p AS INTEGER) AS pos, url, chunk_index, score FROM f WHERE p <= 5"""
+
+
+SQL["hybrid_two_stage"] = _two_stage_sql()
+
+
 @query("""
 WITH c AS (SELECT conv_id AS query_id, max(CASE WHEN role = 'user' THEN text END) AS q, max_by(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
 SELECT query_id, CASE WHEN regexp_replace(coalesce(q, ''), '^\\s+', '') = '' THEN 'question is missing' END AS error, CASE WHEN regexp_replace(coalesce(q, ''), '^\\s+', '') = '' THEN NULL WHEN query_id % 3 = 0 THEN 'first' WHEN a IS NOT NULL THEN 'second' ELSE 'results' END AS responder FROM c""")
