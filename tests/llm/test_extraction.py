@@ -47,3 +47,22 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 6), (None, "u", "", 6)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in extraction.extract(df).collect()] == [("", 0)] * 3
     assert extraction.extract(df.filter("false")).count() == 0
+
+
+def test_quotes_that_stay_open():
+    assert extraction.main_text('<article><p class="x>some text of a page</p><p>and more words here</p></article>', TREE) == "some text of a page and more words here"
+    assert extraction.main_text("<article><p title='a > b'>it's one whole text</p></article>", TREE) == "it's one whole text"
+
+
+def test_unseen_layouts():
+    neighbours = ("words before", "density before", "words after", "density after")
+    names = ("furniture", "article")
+    whole, bare, alone = (extraction.held_out_accuracy(x) for x in ((), names, names + neighbours))
+    # Where names say nothing, the neighbours' words and links help.
+    assert whole > 0.98 and bare > 0.9 and bare > alone + 0.01
+
+
+def test_clashing_columns_and_repeats(spark):
+    page = "<nav>menu</nav><article><p>some words of a text</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "x", 7), (1, "u", page, "x", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.page_id, r.text, r.n_chars) for r in extraction.extract(df).collect()] == [(1, "some words of a text", 20)] * 2
