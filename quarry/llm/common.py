@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quarry.storage import released, written  # noqa: F401  the operators take them from here
+
 #: Separators of words: the ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-
-
 #: Bytes of an Arrow batch that goes to or comes from a Python worker; a row is never cut.
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir or the context.
-
-    Without one there is no place that every executor reads, so none is made up.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of the session hold ``BATCH_BYTES`` or one row, not 10,000 rows of any length.
 
@@ -41,35 +28,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage, so a lost executor costs no recomputation of what came
-    before, and later passes read only the columns they need.  The files go when
-    ``released`` or when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
-
-
-def released(*frames: DataFrame) -> None:
-    """Delete what ``written`` has written for frames that nothing reads any more."""
-    for df in frames:
-        place, files = _place(df.sparkSession, df._quarry_path)
-        files.delete(place, True)
-
-
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -11,7 +11,14 @@ An n-gram is in a language's filter if at least ``min_docs`` of its documents ho
 its rate there is at least ``ratio`` of its highest rate in any language.  Training reads all
 labelled documents of a language with up to ``sample``, and about ``sample`` of another (those
 with a low hash of doc_id; whole texts).  A filter keeps at most ``grams`` n-grams, those with the
-highest rates, so the table has a fixed size and languages don't crowd each other out.
+highest rates, so the table has a fixed size and languages don't crowd each other out; what is
+lost are the rarest n-grams of a language, and a larger ``grams`` keeps them all.  A mask has 64
+bits: more languages have a table of masks for each 64.
+
+Null and letterless texts are ``und``; texts of any length are read whole, in blocks.  Rows
+without a language, text or id train nothing; repeated rows train as often as they occur and
+get equal predictions.  Without a labelled row all texts are ``und``; an empty table stays
+empty.  Columns other than key, text and language are not looked at.
 """
 
 from __future__ import annotations
@@ -72,13 +79,14 @@ class Filters:
     #: The language given where no n-gram is known.
     usual: str
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bits of the languages that contain it."""
-        top = np.uint64(len(self.table) - 1)
+    def masks(self, grams: np.ndarray, part: int = 0) -> np.ndarray:
+        """For each n-gram, the bits of the part's 64 languages that contain it."""
+        table = self.table[part]
+        top = np.uint64(len(table) - 1)
         out = None
         for i in range(self.probes):
             h = grams * _MIX[1] + np.uint64(i) * (grams * _MIX[2] | np.uint64(1))
-            m = self.table[((h >> np.uint64(33)) & top).astype(np.int64)]
+            m = table[((h >> np.uint64(33)) & top).astype(np.int64)]
             out = m if out is None else out & m
         return out
 
@@ -93,9 +101,12 @@ class Filters:
             if len(codes) < 2:
                 continue
             any_letter = True
-            m = self.masks(ngrams(codes))
-            total += len(m)
-            hits += [np.count_nonzero(m & np.uint64(1 << b)) for b in range(len(self.languages))]
+            found = ngrams(codes)
+            total += len(found)
+            for part in range(len(self.table)):
+                m = self.masks(found, part)
+                names = range(64 * part, min(64 * part + 64, len(self.languages)))
+                hits[names.start : names.stop] += [np.count_nonzero(m & np.uint64(1 << (b & 63))) for b in names]
         if not any_letter:
             return UNKNOWN, 0.0
         real = np.maximum(0.0, (hits - total * self.false) / (1 - self.false))
@@ -106,18 +117,16 @@ class Filters:
 
 
 def build(grams: dict[str, np.ndarray], slots: int = 1 << 19, probes: int = 3, usual: str | None = None) -> Filters:
-    """Filters from each language's n-gram hashes (64 languages at most)."""
+    """Filters from each language's n-gram hashes."""
     languages = tuple(sorted(grams))
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
-    empty = Filters(languages, np.zeros(slots, np.uint64), probes, np.zeros(len(languages)), usual or UNKNOWN)
+    table = np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64)
     top = np.uint64(slots - 1)
     for b, name in enumerate(languages):
         for i in range(probes):
             h = grams[name] * _MIX[1] + np.uint64(i) * (grams[name] * _MIX[2] | np.uint64(1))
-            empty.table[((h >> np.uint64(33)) & top).astype(np.int64)] |= np.uint64(1 << b)
-    fill = np.array([np.count_nonzero(empty.table & np.uint64(1 << b)) / slots for b in range(len(languages))])
-    return Filters(languages, empty.table, probes, fill**probes, usual or UNKNOWN)
+            table[b >> 6, ((h >> np.uint64(33)) & top).astype(np.int64)] |= np.uint64(1 << (b & 63))
+    fill = np.array([np.count_nonzero(table[b >> 6] & np.uint64(1 << (b & 63))) / slots for b in range(len(languages))])
+    return Filters(languages, table, probes, fill**probes, usual or UNKNOWN)
 
 
 def train(docs: DataFrame, usable: Column, *, sample: int = 8_000, grams: int = 60_000, min_docs: int = 2, ratio: float = 0.3) -> Filters:

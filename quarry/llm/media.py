@@ -213,14 +213,14 @@ def payload_of(text: str | None, unit: int = 64) -> tuple[bytes, int]:
     return raw + bytes(unit - len(raw) % unit if len(raw) % unit or not raw else 0), len(raw)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes and media: each text's payload as an Ogg file.
 
     A null text is an empty one.  Texts of any length go into as many pages as needed.
-    Repeated rows give repeated rows; other columns are left out.
+    Repeated rows give repeated rows, an empty table stays empty; other columns are left out.
     """
 
     def body():
@@ -250,4 +250,5 @@ def digest(media: DataFrame) -> DataFrame:
 
         return step
 
-    return map_columns(media.select("doc_id", "n_bytes", "media"), body, DIGEST, rows=64)
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return map_columns(media.select("doc_id", "n_bytes", "media"), body, DIGEST.format(kind=kind), rows=64)

@@ -9,6 +9,10 @@ runs out; what finds no room opens new packs.
 Each placement is a range of ranks within its length and a range of packs.  Pieces get
 their rank within their length by counting in cells (length and hash), so a length that
 most documents share is spread over tasks, and find their pack by the range they fall in.
+
+Null texts are empty: a document of one token.  A text of any length is encoded whole, in the
+memory of its task.  Repeated rows are documents of their own, null ids too; an empty table
+stays empty, and columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -174,12 +178,14 @@ def pieces(docs: DataFrame, size: int, tokenizer: str | None = None, end_id: int
     return map_columns(docs.select("doc_id", "text"), body, schema)
 
 
-def place(rows: DataFrame, size: int, cells: int = 64, key: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+def place(rows: DataFrame, size: int, cell_rows: int = 1 << 20, key: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """rows (length int from 1 to size) with sequence_id and offset.
 
-    Ranks within a length follow a hash of ``key``; rows equal in it are repeats of one
+    A length's rows are ranked in cells of about ``cell_rows``, 64 at least.  Ranks within a length follow a hash of ``key``; rows equal in it are repeats of one
     another and either may come first.  An empty table stays empty.
     """
+    # Full pieces may be most of all rows, so cells grow with the rows.
+    cells = max(64, -(-rows.count() // cell_rows))
     dealt = rows.withColumn("__cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int"))
     counts = written(dealt.groupBy("length", "__cell").agg(F.count(F.lit(1)).alias("__n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}

@@ -11,7 +11,9 @@ on the data.  Equal texts have equal hashes and so stay together, except where a
 crosses a splitter: there doc_id decides, so a group of any size is divided evenly.
 
 Rows that agree in both text and doc_id can't be told apart by a key and go to the same
-shard.  Null texts count as empty ones.  An empty table gives an empty result.
+shard.  Null texts count as empty ones, null ids come first, and ids that are no whole
+numbers go by a hash.  Texts of any length count with all their bytes.  An empty table gives
+an empty result.  Other columns are kept; those named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -120,6 +122,7 @@ def shard(
     a cell's first slot comes from the counts of the cells before it.
     """
     filled = F.coalesce(F.col(text), F.lit(""))
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     clash = [c for c in ("size", "text_crc32", "shard", "slot") if c in docs.columns]
     rows = written(
         docs.drop(*clash).withColumns(
@@ -127,7 +130,7 @@ def shard(
                 "size": F.octet_length(filled).cast("long") + 8,
                 "text_crc32": F.crc32(filled.cast("binary")),
                 "__h": F.xxhash64(filled),
-                "__d": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))),
+                "__d": F.coalesce(F.col(key).cast("long") if whole else F.xxhash64(key), F.lit(-(1 << 63))),
             }
         ).drop(text)
     )

@@ -49,3 +49,51 @@ def test_edge_rows(edge, none):
     assert got[2] == got[3] == got[5] == "und" and got[7] in ("en", "fr")
     assert {r.lang_pred for r in language.predict(edge, language.train(none, F.lit(True))).collect()} == {"und"}
     assert language.predict(none, f).count() == 0
+
+
+def test_filters_agree_with_plain_sets(spark, sf, docs):
+    """Sets instead of filters, trained and asked one document at a time."""
+    from collections import Counter
+    from zlib import crc32
+
+    def grams(text):
+        t = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        t = " ".join(t.split())
+        t = f" {t} " if t else ""
+        return [t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learned = [r for r in rows if r.lang and r.text and crc32(str(r.doc_id).encode()) % 4 != 2]
+    counts, sizes = {}, Counter(r.lang for r in learned)
+    for r in learned:
+        counts.setdefault(r.lang, Counter()).update(set(grams(r.text)))
+    rate = {k: {g: n / sizes[k] for g, n in c.items() if n >= 2} for k, c in counts.items()}
+    most = Counter()
+    for c in rate.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    sets = {k: {g for g, x in c.items() if x >= 0.3 * most[g]} for k, c in rate.items()}
+    got = {r.doc_id: r for r in op4_language_filters(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        found = grams(r.text or "")
+        hits = {k: sum(g in s for g in found) for k, s in sorted(sets.items())}
+        if not found:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        elif sum(hits.values()):
+            best = max(hits.values())
+            assert hits[got[r.doc_id].lang_pred] >= best - max(1, 0.01 * len(found))
+            assert abs(got[r.doc_id].score - best / sum(hits.values())) < 0.05
+
+
+def test_more_than_sixty_four_languages():
+    rng = np.random.default_rng(6)
+    grams = {f"l{i:03}": np.unique(language.ngrams(rng.integers(97, 123, 400).astype(np.uint32))) for i in range(130)}
+    f = language.build(grams, slots=1 << 18)
+    for k in ("l000", "l063", "l064", "l129"):
+        part, bit = divmod(f.languages.index(k), 64)
+        assert ((f.masks(grams[k], part) >> np.uint64(bit)) & np.uint64(1)).all()
+    words = {k: "".join(map(chr, rng.integers(97, 123, 300))) for k in ("aa", "zz")}
+    many = {f"m{i:03}": np.unique(language.ngrams(language.normalised("".join(map(chr, rng.integers(97, 123, 300)))))) for i in range(70)}
+    g = language.build(many | {k: np.unique(language.ngrams(language.normalised(t))) for k, t in words.items()})
+    assert g.predict(words["zz"])[0] == "zz" and g.predict(words["aa"])[0] == "aa"

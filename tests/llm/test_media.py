@@ -49,3 +49,40 @@ def test_edge_rows(edge, none):
 def test_query(spark, sf, docs):
     want = {r.doc_id: media.payload_of(r.text)[1] for r in docs.collect()}
     assert {r.doc_id: r.n_bytes for r in op5_ogg_media(spark, sf).collect()} == want
+
+
+def plain_samples(data):
+    """Samples of the audio stream of an undamaged file, page by page."""
+    at, body = 0, b""
+    while at < len(data):
+        count = data[at + 26]
+        sizes = data[at + 27 : at + 27 + count]
+        serial = int.from_bytes(data[at + 14 : at + 18], "little")
+        start = at + 27 + count
+        if serial == media.SERIAL_AUDIO and data[at + 5] & media.FIRST == 0:
+            body += data[start : start + sum(sizes)]
+        at = start + sum(sizes)
+    return body
+
+
+def test_query_by_plain_reading(spark, sf, docs):
+    import hashlib
+    import zlib
+
+    stored = {r.doc_id: r.media for r in media.store(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op5_ogg_media(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        blob = bytes(stored[r.doc_id])
+        assert plain_samples(blob) == payload and len(payload) % 64 == 0 and payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        assert f"us={len(payload) * 125};" in r.feature and f"space={payload.count(32)}" in r.feature
+
+
+def test_ids_of_text(spark):
+    rows = media.digest(media.store(spark.createDataFrame([("a", "x"), (None, None)], "doc_id string, text string"))).collect()
+    assert sorted((r.doc_id or "", r.n_bytes) for r in rows) == [("", 0), ("a", 1)]

@@ -47,3 +47,27 @@ def test_edge_rows(edge, none):
 def test_parts_of_a_shard(docs):
     rows = sharding.shard(docs, 3, cell_bytes=20_000).collect()
     check(rows, 3)
+
+
+def test_query_by_one_sorted_list(spark, sf, docs):
+    """Shards are runs of the rows sorted by key, cut where the bytes reach their shares."""
+    from quarry.llm.queries import op1_histogram_sharding
+
+    got = {r.doc_id: r for r in op1_histogram_sharding(spark, sf).collect()}
+    rows = sorted(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 8).collect())
+    assert len(got) == len(rows)
+    share, done, before = sum(r[2] for r in rows) / 24, 0, 0
+    for _, i, size in rows:
+        k = got[i].shard
+        assert k >= before and got[i].size == size
+        # A row lies in a shard that its own bytes touch, but for the tolerance of a splitter.
+        assert done + size > k * share - max(0.002 * share, size) and done < (k + 1) * share + max(0.002 * share, size)
+        done, before = done + size, k
+    check([r.asDict() for r in got.values()], 24)
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([(str(i), "same" if i % 2 else f"t{i}") for i in range(40)], "doc_id string, text string")
+    rows = sharding.shard(df, 3).collect()
+    assert len(rows) == 40
+    check(rows, 3)

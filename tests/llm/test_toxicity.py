@@ -68,3 +68,58 @@ def test_edge_rows(spark, edge, none):
     assert all(r.score < 0.5 for r in toxicity.score(docs, bare).collect())
     nulls = labels.withColumn("toxic", F.lit(None).cast("int"))
     assert toxicity.train(docs, nulls, F.lit(True)).weights == {}
+
+
+def test_query_by_plain_scores(spark, sf, docs):
+    """The query's scores are the noisy-or of plainly computed sentence scores of its model."""
+    import math
+    import re
+
+    from quarry.llm.queries import op10_noisy_or_toxicity, remainder
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), remainder(5) != 0)
+
+    def plain(text):
+        if not re.search(r"[^\W\d_]", text or ""):
+            return 0.0
+        clean = 1 - 1 / (1 + math.exp(-model.leak))
+        for part in re.split(r"[.!?\n]+", text.lower()):
+            words = re.findall(r"[^\W\d_]+", part)
+            known = {f for w in words for f in (w + "$", *(w[:k] for k in (3, 4, 5, 6) if len(w) >= k))} & set(model.weights)
+            if known:
+                clean *= 1 / (1 + math.exp(-3.0 + sum(model.weights[f] for f in known)))
+        return 1 - clean
+
+    rows = op10_noisy_or_toxicity(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.score - plain(texts[r.doc_id])) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_weights_by_plain_descent(spark):
+    """Counts, choice of features and bags against one document at a time; then one fit on both."""
+    docs, labels = corpus(spark, 200)
+    model = toxicity.train(docs, labels, F.lit(True), min_docs=3, least_z=3.0)
+    rows = sorted(zip([r.text for r in docs.orderBy("doc_id").collect()], [r.toxic for r in labels.orderBy("doc_id").collect()], strict=True), key=lambda x: 0)
+    bags = [[toxicity.features(toxicity.WORD.findall(p)) for p in toxicity.BREAK.split(t.lower()) if toxicity.WORD.search(p)] for t, _ in rows]
+    y = np.array([bool(x) for _, x in rows])
+    n, p = {}, {}
+    for bag, bad in zip(bags, y, strict=True):
+        for f in set().union(*bag):
+            n[f] = n.get(f, 0) + 1
+            p[f] = p.get(f, 0) + bad
+    rate = y.mean()
+    z = {f: (p[f] - n[f] * rate) / np.sqrt(n[f] * rate * (1 - rate)) for f in n if n[f] >= 3}
+    assert set(model.weights) == {f for f, x in z.items() if x >= 3.0}
+    index = {f: i for i, f in enumerate(sorted(model.weights))}
+    sentences = [(d, [index[f] for f in s & index.keys()]) for d, bag in enumerate(bags) for s in bag if s & index.keys()]
+    w, leak = toxicity.fit_noisy_or(sentences, y, len(index))
+    assert abs(leak - model.leak) < 0.05 and all(abs(w[i] - model.weights[f]) < 0.1 for f, i in index.items())
+
+
+def test_repeated_sentences_count(spark):
+    one = toxicity.fit_noisy_or([(0, [0]), (1, [0]), (2, [0])], np.array([True, False, False]), 1, times=[3, 1, 1])
+    many = toxicity.fit_noisy_or([(0, [0]), (0, [0]), (0, [0]), (1, [0]), (2, [0])], np.array([True, False, False]), 1)
+    assert np.allclose(one[0], many[0]) and abs(one[1] - many[1]) < 1e-9
