@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the files of shuffles go that nothing refers to: the driver drops them as it collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

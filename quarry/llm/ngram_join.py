@@ -41,10 +41,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_CHARS, bounded_batches, map_columns, released, written
+from quarry.llm.common import SPACE_CHARS, bounded_batches, map_columns, released, swept, written
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -212,11 +212,17 @@ def overlap_links(probe: np.ndarray, leaves: list[np.ndarray], num: int = 4, den
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """id, label (least id reachable) for edges (u, v), by alternating stars.
 
-    Each round works on edges only, by joins and minima; ids are never gathered.
+    Each round works on edges only, by joins and minima; ids are never gathered.  Edges are
+    counted as they are written, which tells when a round has changed nothing.
     """
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")))
+        return out, (seen.get["n"], seen.get["h"])
+
+    now, mark = kept(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _ in range(rounds if mark[0] else 0):
         # Each node's larger neighbours move to its least neighbour, then its smaller ones do.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -224,11 +230,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.filter("u <> v").distinct())
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, old = mark, now
+        now, mark = kept(small.filter("u <> v").distinct())
+        released(old)
         if mark == before:
             break
-        before = mark
     return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
@@ -338,12 +344,12 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, most_frequent: int,
 
     def body():
         def step(ids, texts, hashes):
-            out = (ids, hashes, [], [], [], [])
+            out = (ids, hashes, [], [], [], [], [])
             for t in texts:
                 plain = shingles(t, words)
                 keys = order(plain, frequent.value)
                 lead, low = leading(keys, num, den)
-                for c, v in zip(out[2:], (len(keys), low, _digest(plain) if len(keys) else None, lead), strict=True):
+                for c, v in zip(out[2:], (len(keys), low, len(lead), _digest(plain) if len(keys) else None, lead), strict=True):
                     c.append(v)
             return out
 
@@ -351,34 +357,29 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, most_frequent: int,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text"))
-    made = written(map_columns(rows, body, f"doc_id {kind}, h long, n int, low int, rid long, head array<long>"))
-    records = written(
-        made.filter("rid is not null").groupBy("rid").agg(
-            F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("head").alias("head")
-        )
-    )
-    facts = records.select("rid", "n", "low", F.size("head").alias("size"))
+    made = written(map_columns(rows, body, f"doc_id {kind}, h long, n int, low int, size int, rid long, head array<long>"))
+    real = made.filter("rid is not null")
+    # A row for each record: equal sets are counted in the tasks before they are shuffled.
+    records = written(real.groupBy("rid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("size").alias("size")))
 
     # Groups: the records of each leading key that more than one record has.
-    shared = _shared(records.select(F.explode("head").alias("key"), "rid")).join(facts, "rid")
-    # A similar pair meets in all but a fifth of the larger set, at the least.
-    spare = 1 - num / den
-    below = F.sum((F.col("key") < _POINT).cast("int"))
-    for _ in range(2):
-        before = shared
-        meets = shared.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), below.alias("b"), F.first("low").alias("low"), F.first("n").alias("n"), F.first("size").alias("size"))
-        enough = meets.filter(F.col("b") >= F.col("low") - F.floor(F.col("n") * spare + 1e-9))
-        # most: the keys that the record can share; odd: its share of leading keys that none has.
-        enough = enough.select("rid", (F.col("n") - F.col("low") + F.col("b")).cast("int").alias("most"), ((F.col("size") - F.col("s")) / F.col("n")).alias("odd"))
-        shared = _shared(shared.drop("most", "odd").join(enough, "rid"))
-        if hasattr(before, "_quarry_path"):
-            released(before)
+    heads = real.select(F.explode("head").alias("key"), "rid")
+    # Copies of a record have its keys as often; one row of each goes on.
+    first = written(_grouped(heads, distinct=True, x=F.min("rid"), y=F.max("rid")).filter("x <> y").select("key", "rid"))
+    shared = first.repartition("rid").join(records.drop("least"), "rid")
+    shared, before = _able(shared, num, den), first
+    released(before)
+    shared, before = _able(shared, num, den), shared
+    released(before)
+    swept(spark)
 
     wanted = records.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", "least")
     bits = spark.sparkContext.broadcast(_filter(wanted.select("least"), "least"))
     sets = _sets(docs, bits, frequent, words).join(wanted.select("rid"), "rid", "left_semi")
     # Repeated rows made the same set more than once.
     sets = written(sets.groupBy("rid").agg(F.first("keys").alias("keys")))
+    for b in (bits, frequent):
+        b.destroy()  # what was made with them is written
 
     # Hubs: a link from a record leads to a record that its cluster is made of.
     label = None
@@ -422,8 +423,10 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, most_frequent: int,
     pairs = written(counted.filter(possible).select("u", "v", "l", "r"))
     rest = _verified(pairs.select("u", "v"), sets, num, den).join(pairs, ["u", "v"])
     label = _merged(label, components(rest.select(F.col("l").alias("u"), F.col("r").alias("v"))))
+    swept(spark)
     of = records.select("rid").join(label.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"))
-    return made.select("doc_id", "h", "n", "rid"), of
+    released(sets, shared, sized, own)
+    return made, of
 
 
 def _named(links: DataFrame, label: DataFrame) -> DataFrame:
@@ -478,7 +481,9 @@ def keep_one(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, mos
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     # First one row of each set, so a group of copies is counted before the shuffle.
     sets = made.filter("rid is not null").groupBy("rid").agg(least.alias("b")).join(of, "rid")
-    best = sets.groupBy("label").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.h").alias("__h"))
+    best = written(sets.groupBy("label").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.h").alias("__h")))
+    released(made)
+    swept(docs.sparkSession)
     blank = F.length(F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, "")) == 0
     full = docs.filter(~blank).select(F.struct(*docs.columns).alias("__row"), "doc_id", F.xxhash64("text").alias("__t"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))
@@ -486,8 +491,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, mos
     return chosen.select("__row.*").unionByName(docs.filter(blank))
 
 
-def _grouped(rows: DataFrame, **made: Column) -> DataFrame:
-    """rows with aggregates over their key.
+def _grouped(rows: DataFrame, distinct: bool = False, **made: Column) -> DataFrame:
+    """rows with aggregates over their key; with ``distinct`` each row once.
 
     Frequent keys may hold a great part of the rows: they are aggregated before the shuffle
     and come back by a broadcast, which has a row for each frequent key at most.
@@ -495,12 +500,25 @@ def _grouped(rows: DataFrame, **made: Column) -> DataFrame:
     rare = rows.filter(F.col("key") < FREQUENT).withColumns({n: c.over(Window.partitionBy("key")) for n, c in made.items()})
     common = rows.filter(F.col("key") >= FREQUENT)
     table = common.groupBy("key").agg(*[c.alias(n) for n, c in made.items()])
-    return rare.unionByName(common.join(F.broadcast(table), "key").select(*rare.columns))
+    back = common.join(F.broadcast(table), "key").select(*rare.columns)
+    if distinct:  # the rows of a rare key are in one task already
+        rare, back = (x.dropDuplicates(rows.columns) for x in (rare, back))
+    return rare.unionByName(back)
 
 
-def _shared(meets: DataFrame) -> DataFrame:
-    """Rows whose key occurs in more than one record."""
-    return written(_grouped(meets, __k=F.count(F.lit(1))).filter("__k > 1").drop("__k"))
+def _able(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """shared without the records that share too few keys, then without the groups of one.
+
+    most is the number of keys that a record can share, odd its part of leading keys that no
+    other record has.  A record's rows are as many as its leading keys, so its windows are small.
+    """
+    own = Window.partitionBy("rid")
+    b = F.sum((F.col("key") < _POINT).cast("int")).over(own)
+    counted = shared.drop("most", "odd").withColumns({"__s": F.count(F.lit(1)).over(own), "__b": b})
+    # A similar pair meets in all but a fifth of the larger set, at the least.
+    able = counted.filter(F.col("__b") >= F.col("low") - F.floor(F.col("n") * (1 - num / den) + 1e-9))
+    facts = able.withColumns({"most": (F.col("n") - F.col("low") + F.col("__b")).cast("int"), "odd": (F.col("size") - F.col("__s")) / F.col("n")})
+    return written(_grouped(facts.drop("__s", "__b"), __k=F.count(F.lit(1))).filter("__k > 1").drop("__k"))
 
 
 def _sets(docs: DataFrame, bits, frequent, words: int) -> DataFrame:

@@ -248,7 +248,7 @@ def _inverted(factors: DataFrame, others: list[str] = []) -> DataFrame:
 
 def _settled(before: DataFrame, after: DataFrame) -> bool:
     """Whether a step moved no group's log determinant by more than a ten-thousandth."""
-    return not after.filter("abs(log_det - log_det_before) > 1e-4").limit(1).count()
+    return not after.filter("abs(log_det - log_det_before) > 1e-4").take(1)
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> DataFrame:

@@ -79,6 +79,39 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op7, which SQL can express."""
+    out = quality.counts(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op9, which SQL can express."""
+    sizes = documents(spark, sf_dir).select("source", word_count(F.col("text")).cast("long").alias("size"))
+    return mixing.source_targets(sizes).select("source", "source_size", F.round("target", 4).alias("target"))
+
+
+_SPACE = "\\x20\\x09-\\x0D"
+
+SQL = {
+    "base_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls FROM d),
+t AS (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS win FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM t) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r GROUP BY 1),
+x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[{_SPACE}]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x""",
+    "mix_targets": f"""
+WITH s AS (SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[{_SPACE}]+'), lambda x: x <> ''))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w, 3.0 * source_size AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+x AS (SELECT max(level) FILTER (level <= most / w) AS settled FROM l)
+SELECT source, source_size, round(CAST(least(most, w * coalesce(settled, 'inf'::DOUBLE)) AS DOUBLE), 4) AS target FROM l, x""",
+}
+
+
 def queries() -> dict:
     return {
         "op1_histogram_sharding": op1_histogram_sharding,
@@ -91,8 +124,10 @@ def queries() -> dict:
         "op8_block_tree_extraction": op8_block_tree_extraction,
         "op9_pareto_mixing": op9_pareto_mixing,
         "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
+        "base_rules": base_rules,
+        "mix_targets": mix_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -132,3 +132,36 @@ def test_edge_rows(edge, none):
     kept = ngram_join.keep_one(edge)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7]
+
+
+def test_many_near_copies(spark, monkeypatch):
+    """A cluster of over a thousand copies: all links are found with few rows of links."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(near(rng, base, rng.choice([0, 1, 2, 3, 4, 5, 6])))) for i in range(1100)]
+    rows += [(5000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))) for i in range(60)]
+    edges, was = [], ngram_join.components
+
+    def counted(df, **options):
+        from quarry.llm.common import written
+
+        kept = written(df)
+        edges.append(kept.count())
+        return was(kept, **options)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    assert got(spark, rows) == brute(rows)
+    records = len({t for _, t in rows})
+    assert max(edges) <= 3 * records and sum(edges) <= 6 * records
+
+
+def test_one_row_of_each_component(spark):
+    base = [f"b{i}" for i in range(80)]
+    rng = random.Random(2)
+    copy = " ".join(near(rng, base, 1))
+    other = " ".join(f"o{i}" for i in range(40))
+    # Ids repeat with other texts, and are missing.
+    rows = [(3, " ".join(base), "a"), (5, copy, "b"), (5, other, "c"), (None, copy, "d"), (None, "quite alone here", "e"), (9, other, "f"), (2, " ", "g"), (2, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.h for r in kept.collect()) == ["a", "c", "e", "g", "h"]

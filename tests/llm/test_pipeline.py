@@ -51,3 +51,25 @@ def test_stages(spark, sf, docs):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_with_odd_rows(spark, sf, edge, none):
+    for rows in (edge, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            if name != "packing":
+                assert out.columns == rows.columns and out.dtypes == rows.dtypes
+            got = out.collect()
+            if rows is none:
+                assert got == []
+            elif name == "quality_rules":
+                assert [r.doc_id for r in got] == [4]
+            elif name == "toxicity":
+                assert len(got) == 9
+            elif name == "ngram_jaccard_join":
+                # 1, its repeat and 6 have the same words; wordless rows stay.
+                assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 3, 4, 5, 7]
+            elif name == "source_mixing":
+                assert {r.doc_id for r in got} <= {1, 4, 6, 7, None}
+            else:
+                assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, 7, None} and max(r.length + r.offset for r in got) <= 2048
