@@ -229,12 +229,49 @@ def html_links(spark, sf_dir):
     return html.links(_t(spark, sf_dir, "pages"))
 
 
-@query()
+def _decoded(c: str) -> str:
+    for name, value in html.REFERENCES:
+        c = f"replace({c}, '&{name};', {sqlquoted(value)})"
+    return c
+
+
+def sqlquoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _without(c: str, names: tuple[str, ...]) -> str:
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->', chr(1), 'g')"
+    for n in names:
+        c = f"regexp_replace({c}, '(?s)<{n}[ >].*?</{n}>', chr(1), 'g')"
+    return c
+
+
+#: Strings of a tree, between tags and comments (here chr(1)), with references decoded.
+_STRINGS = _decoded("regexp_replace({c}, '<[^>]*>', chr(1), 'g')")
+_ARTICLE = "regexp_extract({c}, '(?s)<article[^>]*>(.*?)</article>', 1)"
+_BODY = "regexp_extract({c}, '(?s)<body[^>]*>(.*)$', 1)"
+_CONTROLS = ", ".join(sqlquoted(x) for x in (*lines.CONTROL_LINES, "image"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, trim(regexp_replace({_decoded("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, {_without('html', ('script', 'style', 'noscript', 'header', 'footer', 'nav', 'aside'))} AS h FROM pages),
+a AS (SELECT page_id, title, {_STRINGS.format(c=_ARTICLE.format(c='h'))} AS article, {_STRINGS.format(c=_BODY.format(c='h'))} AS body FROM p),
+t AS (SELECT page_id, title, CASE WHEN list_sum(list_transform(string_split(article, chr(1)), lambda x: length(regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')))) > 400 THEN article ELSE body END AS s FROM a),
+l AS (SELECT page_id, title, generate_subscripts(ls, 1) AS pos, trim(regexp_replace(replace(unnest(ls), chr(160), ' '), '[ \t]+', ' ', 'g')) AS line FROM (SELECT page_id, title, string_split(replace(s, chr(1), chr(10)), chr(10)) AS ls FROM t)),
+f AS (SELECT *, lag(line) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM l WHERE length(line) > 2 AND lower(line) NOT IN ({_CONTROLS}) AND NOT contains(line, 'www.uz')),
+d AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE before IS NULL OR before <> line GROUP BY page_id)
+SELECT page_id, nullif(p.title, '') AS title, coalesce(text, '') AS text FROM p LEFT JOIN d USING (page_id)""")
 def html_tree_lines(spark, sf_dir):
     return ingest.clean_pages(_t(spark, sf_dir, "pages"), "page_id")
 
 
-@query()
+_NORMAL = "trim(regexp_replace(regexp_replace(replace({c}, chr(160), ' '), '[''ʻʼ‘’‛′´`]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_without('html', ('script', 'style', 'nav', 'header', 'footer', 'aside', 'form'))} AS h FROM pages),
+a AS (SELECT page_id, {_STRINGS.format(c="regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_STRINGS.format(c="regexp_extract(h, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title, {_STRINGS.format(c=_ARTICLE.format(c='h'))} AS article, {_STRINGS.format(c=_BODY.format(c='h'))} AS body FROM p)
+SELECT page_id, {_NORMAL.format(c="replace(CASE WHEN trim(replace(h1, chr(1), ' ')) <> '' THEN h1 ELSE title END, chr(1), ' ')")} AS title, {_NORMAL.format(c="replace(CASE WHEN article <> '' THEN article ELSE body END, chr(1), ' ')")} AS text FROM a""")
 def html_tree_index(spark, sf_dir):
     return html.extracted(_t(spark, sf_dir, "pages"), "index").select("page_id", text.normalize_search(F.col("title")).alias("title"), text.normalize_search(F.col("text")).alias("text"))
 
