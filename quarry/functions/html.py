@@ -170,6 +170,9 @@ def extracted(pages: DataFrame, rule: str = "lines", key: str = "page_id", page:
     """
     import pyarrow as pa
 
+    from quarry.storage import bounded_batches
+
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):

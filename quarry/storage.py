@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import re
 import tempfile
 import time
@@ -11,6 +13,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to or comes from a Python worker; a row is never cut.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir or the context.
 
@@ -32,6 +38,32 @@ def place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Tables that are written between two collections of the driver's garbage.
+SWEEP_EVERY = 8
+_count = itertools.count(1)
+
+
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans, and the files of shuffles that nothing refers to.
+
+    Spark drops those files only when the driver happens to collect, which a driver with
+    little garbage of its own does late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES`` or one row, not 10,000 rows of any length.
+
+    It is a setting of the session, since no operator takes one; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -40,6 +72,8 @@ def written(df: DataFrame) -> DataFrame:
     ``released`` or when the application ends.
     """
     spark = df.sparkSession
+    if next(_count) % SWEEP_EVERY == 0:
+        swept(spark)
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at, files = place(spark, path)
