@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quarry.storage import released, written  # noqa: F401  the operators take them from here
+from quarry.storage import bounded_batches, released, swept, written  # noqa: F401  the operators take them from here
 
 #: Separators of words: the ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Bytes of an Arrow batch that goes to or comes from a Python worker; a row is never cut.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of the session hold ``BATCH_BYTES`` or one row, not 10,000 rows of any length.
-
-    It is a setting of the session, since no operator takes one; a smaller one stays.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def swept(spark: SparkSession) -> None:
-    """Let the files of shuffles go that nothing refers to: the driver drops them as it collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def bind(value: Column, body) -> Column:
