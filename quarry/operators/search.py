@@ -135,24 +135,20 @@ def bm25_lite(queries: DataFrame, candidates: DataFrame, k1: float = 1.2, text:
 
     candidates: item_id and text, with the query_id whose candidate a row is, or without one
     where each row is a candidate of every query (a stated set).  N and df are those of each
-    query's own candidates; a term counts once however often the query has it.  Frequencies
-    are counted inside a row, so what is shuffled are numbers, no tokens.
+    query's own candidates; a term counts once however often the query has it.  Tokens meet
+    the query terms before they are grouped, so hits are shuffled and not the texts' tokens.
     """
-    wanted = queries.select("query_id", F.array_distinct(relevance_tokens(F.col("query"))).alias("ts"))
-    if "query_id" in candidates.columns:
-        paired = candidates.join(wanted, "query_id", "left")
-    else:
-        paired = candidates.crossJoin(F.broadcast(wanted))  # the stated queries, once for each row
-    own = F.filter(relevance_tokens(F.col(text)), lambda t: F.array_contains(F.col("ts"), t))
-    some = paired.select("query_id", "item_id", own.alias("own"), "ts")
-    tf = F.filter(F.transform("ts", lambda t: F.struct(t.alias("term"), F.size(F.filter("own", lambda x: x == t)).alias("tf"))), lambda e: e["tf"] > 0)
-    counted = some.select("query_id", "item_id", F.coalesce(tf, F.array().cast("array<struct<term:string,tf:int>>")).alias("tf"))
-    n = counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_all"))
-    df = counted.select("query_id", F.explode("tf.term").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    mine = ["query_id"] if "query_id" in candidates.columns else []
+    wanted = queries.select("query_id", F.explode(F.array_distinct(relevance_tokens(F.col("query")))).alias("term"))
+    found = candidates.select(*mine, "item_id", F.explode(relevance_tokens(F.col(text))).alias("term"))
+    hit = found.join(wanted, [*mine, "term"]).groupBy("query_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ids = candidates.select(*mine, "item_id")
+    ids = ids if mine else ids.crossJoin(F.broadcast(queries.select("query_id")))  # the stated queries, once for each row
+    df = hit.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    n = ids.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_all"))
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    # One row for each query.
-    weights = df.join(n, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", idf))).alias("idf"))
-    each = F.transform("tf", lambda e: F.element_at(F.col("idf"), e["term"]) * e["tf"] * (k1 + 1) / (e["tf"] + k1))
-    score = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    score = hit.join(df, ["query_id", "term"]).join(n, "query_id").groupBy("query_id", "item_id").agg(
+        F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)).alias("s")
+    )
     # Candidates without a term keep a score of 0.
-    return counted.join(weights, "query_id", "left").select("query_id", "item_id", F.round(F.coalesce(score, F.lit(0.0)), 6).alias("bm25"))
+    return ids.join(score, ["query_id", "item_id"], "left").select("query_id", "item_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("bm25"))
