@@ -11,8 +11,8 @@ sums by weight.  floor(wanted) whole copies are certain.  The rest p is the prob
 one more copy in a Pareto sample: a document has random odds u / (1 - u), inclusion odds
 p / (1 - p) and rank (u / (1 - u)) / (p / (1 - p)), and the lowest ranks are taken while
 their words fit what whole copies leave of the target.  What the next rank would overshoot
-is filled at the end with one more copy of a few documents of fitting sizes, so short
-sources come near their targets, too.  u comes from a hash of the document, so reruns agree.
+is filled at the end with one more copy of a few documents of fitting sizes, ``fill`` times,
+so short sources come near their targets, too.  u comes from a hash of the document, so reruns agree.
 
 Ranks are summed in two steps: exact words for each source and rank bin, then row by row
 only inside the one bin of each source in which the limit falls.  Bins are cut where the
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_small, unit, word_count, written
+from quarry.llm.common import join_small, released, unit, word_count, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0) -> DataFrame:
@@ -105,7 +105,7 @@ def wanted(max_repeat: float) -> Column:
 
 def mix(
     docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_repeat: int = 3, weight: Column | None = None,
-    text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 9, bins: int = 4096,
+    text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 9, bins: int = 4096, fill: int = 2,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken, h.
 
@@ -134,9 +134,11 @@ def mix(
     even = F.col("rank") * F.col("odds")
     rows = rows.withColumn("rank", rank).withColumn("bin", F.floor(even / (1 + even) * bins).cast("int"))
     rows = written(_sampled(rows.drop("__w", "level", "odds", "weight"), plan.select("source", "rest")))
-    got = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-    left = _joined(targets.filter("source_size > 0"), got).select("source", (F.col("target") - F.col("got")).alias("rest"))
-    rows = _filled(rows, written(left), max_repeat)
+    for _ in range(fill):
+        got = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+        left = _joined(targets.filter("source_size > 0"), got).select("source", (F.col("target") - F.col("got")).alias("rest"))
+        before, rows = rows, written(_filled(rows, written(left), max_repeat))
+        released(before)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h")
 
 

@@ -92,14 +92,18 @@ def test_sample_equals_one_by_one(spark):
     for s, r in plan.items():
         whole = sum(min(3.0, r.level * k[4]) * k[3] for k in plain if k[0] == s)
         assert abs(whole - targets[s]) < 1e-3 * targets[s]
-    got = {r.doc_id: r for r in mixing.mix(docs, weight=weight).collect()}
-    # The last adjustment only adds copies, of a few documents, towards the target.
+    got = {r.doc_id: r for r in mixing.mix(docs, weight=weight, fill=1).collect()}
+    # An adjustment only adds copies, of a few documents, towards the target.
     added = {k: got[k[1]].copies - n for k, n in plain.items()}
     assert all(d in (0, 1) for d in added.values()) and sum(added.values()) <= 0.2 * len(added)
     for s, t in targets.items():
         before = sum(n * k[3] for k, n in plain.items() if k[0] == s)
         after = sum(r.taken for r in got.values() if r.source == s)
         assert abs(after - t) <= abs(before - t) + 1e-6 and abs(after - t) <= max(30, 0.02 * t)
+    twice = mixing.mix(docs, weight=weight).collect()
+    assert all(0 <= r.copies - got[r.doc_id].copies <= 1 and r.copies <= 3 for r in twice)
+    for s, t in targets.items():
+        assert abs(sum(r.taken for r in twice if r.source == s) - t) <= abs(sum(r.taken for r in got.values() if r.source == s) - t) + 1e-6
 
 
 def test_mixed_takes_what_the_mix_takes(spark):
