@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,14 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def returned() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on for the next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -59,6 +69,8 @@ def map_columns(df: DataFrame, body, schema: str, rows: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, kind.type) for v, kind in zip(out, kinds, strict=True)], schema=kinds
                 )
+        del step
+        returned()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, made)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, map_columns, released, written
+from quarry.llm.common import bounded_batches, map_columns, released, returned, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What the weights of a sentence must outweigh.
@@ -115,6 +115,7 @@ def _counted(docs: DataFrame, most: int = 200_000) -> DataFrame:
                 if len(held) >= most:
                     yield counts()
         yield counts()
+        returned()
 
     bounded_batches(docs.sparkSession)
     made = docs.select("toxic", "text").mapInArrow(run, "word string, pos long, all long")
@@ -231,6 +232,7 @@ def keep(docs: DataFrame, model: Model, most: float = 0.5, text: str = "text") -
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < most for t in batch.column(at)], pa.bool_()))
+        returned()
 
     return docs.mapInArrow(run, docs.schema)
 
