@@ -99,6 +99,8 @@ def main(argv: list[str] | None = None) -> int:
     x = sub.add_parser("export-corpus")
     x.add_argument("out")
     x.add_argument("--since", default="1970-01-01")
+    x = sub.add_parser("index-folder", help="write the keyword index of a folder of HTML files")
+    x.add_argument("root")
     x = sub.add_parser("backfill", help="queue the calendar pages of a range of days")
     x.add_argument("start")
     x.add_argument("end")
@@ -135,6 +137,9 @@ def main(argv: list[str] | None = None) -> int:
         schema = spark.read.parquet(a.pages).schema
         stream(spark.readStream.schema(schema).parquet(a.pages), a.path, a.checkpoint).awaitTermination()
         return 0
+    if a.command == "index-folder":
+        sinks.index_folder(spark, a.root, f"{a.path}/index").show()
+        return 0
     if a.command == "search":
         keyword_search(spark, a.path, a.question).show(truncate=False)
         return 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import iso, normalize_search
 from quarry.operators.search import index_stats, postings
 from quarry.config import Settings
+from quarry.sources import files
+from quarry.storage import written
 
 
 def search_index(chunks: DataFrame, documents: DataFrame, path: str, s: Settings = Settings()) -> None:
@@ -27,6 +29,21 @@ def search_index(chunks: DataFrame, documents: DataFrame, path: str, s: Settings
     index_stats(d).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def index_folder(spark: SparkSession, root: str, path: str, s: Settings = Settings()) -> DataFrame:
+    """Write the keyword index of a folder of HTML files; returns meta: files, documents and chunks by key.
+
+    Files without text are counted and have no rows; of files with one id all chunks stay.
+    """
+    pages = files.html_folder(spark, root)
+    rows = written(files.index_rows(pages, s.chunk_words, s.chunk_overlap))
+    documents = rows.groupBy("doc_id").agg(F.min("url").alias("url"), F.min("title").alias("title"))
+    search_index(rows.select("doc_id", "chunk_index", "text", F.lit(1).alias("active")), documents, path, s)
+    counts = {"files": pages.select("path").count(), "documents": documents.count(), "chunks": rows.count()}
+    meta = spark.createDataFrame([(k, str(v)) for k, v in counts.items()], "key string, value string")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return meta
+
+
 def embeddings(rows: DataFrame, path: str) -> None:
     """Replace the table of chunk embeddings."""
     rows.write.mode("overwrite").parquet(path)

@@ -274,3 +274,16 @@ def test_approximate_search_recall(spark, sf):
     exact = {(r.query_id, r.vec_id) for r in vectors.top_k(q, v, 10).collect()}
     near = {(r.query_id, r.vec_id) for r in vectors.approximate_top_k(q, v, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_index_of_a_folder(spark, tmp_path):
+    from quarry.sources import sinks
+
+    (tmp_path / "in/x").mkdir(parents=True)
+    (tmp_path / "in/7.html").write_text("<title>t</title><body><h1>Seven</h1><p>needle words here</p>")
+    (tmp_path / "in/x/-8.htm").write_text("<body><p>other words</p>")
+    (tmp_path / "in/9.html").write_text("<body></body>")
+    meta = sinks.index_folder(spark, str(tmp_path / "in"), str(tmp_path / "index"))
+    assert {r.key: r.value for r in meta.collect()} == {"files": "3", "documents": "2", "chunks": "2"}
+    wanted = search.terms(spark.createDataFrame([(1, "needle seven")], "query_id int, query string"))
+    assert [r.doc_id for r in search.stored_hits(spark, str(tmp_path / "index"), wanted, ["doc_id", "chunk_index"]).collect()] == ["7"]
