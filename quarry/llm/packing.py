@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_columns, written
 
 #: Words kept by a worker with their ids; the store is emptied when it is full.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: A space after white space: there, words can't be encoded one by one.
 _RUN = re.compile(r"\s ")
 
@@ -108,17 +108,31 @@ class Encoder:
         plain = {b for lo, hi in PLAIN_BYTES for b in range(lo, hi + 1)}
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+        self.space = chr(self.alphabet[32])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _ids(self, part: str) -> bytes:
+        mapped = part.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
+        found = self.words.get(part[1:]) if part[0] == " " else None
+        if found is None:
+            found = self.parts.get(part)
         if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.alphabet)
-            ids = array("I", [t.id for t in self.model.tokenize(mapped)])
-            found = self.parts[part] = ids.tobytes()
+            found = self.parts[part] = self._ids(part)
         return found
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space; one that is a single pre-token is kept as a word only."""
+        if word.isalpha():  # letters are one pre-token with the space before them
+            return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes() if word.isascii() else self._ids(" " + word)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._part(" " + word[:-1]) + self._part(word[-1])
+        parts = self.pretokens(" " + word)
+        return self._ids(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -135,9 +149,9 @@ class Encoder:
             # A word is kept with its leading space; the first one has none.
             head = b"".join([part(p) for p in self.pretokens(cut[0])])
             rest = cut[1:]
-            for w in [w for w in set(rest) if w not in words]:
-                words[w] = b"".join([part(p) for p in self.pretokens(" " + w)])
-            out.append(head + b"".join([words[w] for w in rest]))
+            for w in set(rest).difference(words):
+                words[w] = self._word(w)
+            out.append(head + b"".join(map(words.__getitem__, rest)))
         return out
 
 
