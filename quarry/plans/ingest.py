@@ -26,9 +26,9 @@ class Snapshot:
     vectors: DataFrame | None = None
 
 
-def clean_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, title and text of HTML pages, by tree and line rules."""
-    raw = html.extracted(pages, "lines", key=key)
+def clean_pages(pages: DataFrame, key: str = "doc_id", references: html.References | None = None) -> DataFrame:
+    """key, title and text of HTML pages, by tree and line rules; references as in ``html.parse``."""
+    raw = html.extracted(pages, "lines", key=key, references=references)
     clean = lines.joined(lines.collapse_adjacent(lines.without_controls(lines.lines(F.col("text")))))
     return raw.select(key, normalize_ws(F.col("title")).alias("title"), F.coalesce(clean, F.lit("")).alias("text"))
 

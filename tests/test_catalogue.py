@@ -79,3 +79,7 @@ def odd_pages_equal_sql(spark, tmp_path, name):
 
 def test_tree_index_of_pages_with_cut_references(spark, tmp_path):
     odd_pages_equal_sql(spark, tmp_path, "html_tree_index")
+
+
+def test_tree_lines_of_pages_with_cut_references(spark, tmp_path):
+    odd_pages_equal_sql(spark, tmp_path, "html_tree_lines")
