@@ -102,6 +102,15 @@ def test_html_tree():
     assert html.crawl_delay("User-agent: *\nCrawl-delay: x") is None
 
 
+def test_best_container_looks_at_every_block():
+    page = "<body>" + "<div>menu</div>" * 5000 + "<div>" * 900 + f"<div id='x'>{'y ' * 900}</div>" + "</div>" * 900 + "<p>z</p></body>"
+    root = html.parse(page)
+    found = html.best_container(root)
+    assert found.name == "div" and found.parent.name == "body" and len(found.text(" ")) == 1799
+    assert all(html._sizes(root)[n] == len(n.text(" ")) for n in root.walk() if len(n.children) != 1)
+    assert "z" not in html.page_lines(page)[1]
+
+
 def test_html_tree_decodes_the_references_it_is_given():
     page = "<body><article><h1>a &amp</h1><p class='x&amp;y'>&amp;lt; &#39;&eacute; \ue000&nbsp;&gt</p></article></body>"
     assert html.index_text(page) == ("a &", "a &\n&lt; 'é \ue000\xa0>")
