@@ -43,6 +43,11 @@ def normalize_search(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def searchable(c: Column) -> Column:
+    """Whether anything is left of a text in ``normalize_search``, without making it."""
+    return c.rlike(rf"[^\s\xA0{APOSTROPHES}]")
+
+
 def words(c: Column) -> Column:
     return F.array_remove(F.split(c, r"\s+"), "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
-from quarry.functions.text import fold_accents, query_terms, relevance_tokens
+from quarry.functions.text import fold_accents, once, query_terms, relevance_tokens
 
 TOKEN = r"([\p{L}\p{N}]+)"
 
@@ -23,15 +23,46 @@ def postings(rows: DataFrame, keys: list[str], columns: dict[str, float], wanted
     a search shuffles its matches, not the corpus.  A token says nothing about how often a
     term is wanted, so the terms are taken once each.
     """
+    if wanted is None:
+        all_ = units(rows, keys, columns)
+        return merged(listed(all_, keys), keys), all_.select(*keys, "d")
+    all_ = _weighed(rows, keys, columns)
+    long = all_.select(*keys, "d", F.explode("t").alias("t")).select(*keys, "d", "t.term", "t.w")
+    f = long.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", *keys, "d").agg(F.sum("w").alias("f"))
+    return f, all_.select(*keys, "d")
+
+
+def _weighed(rows: DataFrame, keys: list[str], columns: dict[str, float]) -> DataFrame:
+    """keys, length d and the tokens t of each row, each with its column's weight w."""
     def weighed(c: str, w: float) -> Column:
         return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    all_ = rows.select(*keys, F.concat(*[weighed(c, w) for c, w in columns.items()]).alias("t")).select(*keys, F.size("t").alias("d"), "t")
-    long = all_.select(*keys, "d", F.explode("t").alias("t")).select(*keys, "d", "t.term", "t.w")
-    if wanted is not None:
-        long = long.join(wanted.select("term").distinct(), "term", "left_semi")
-    f = long.groupBy("term", *keys, "d").agg(F.sum("w").alias("f"))
-    return f, all_.select(*keys, "d")
+    return rows.select(*keys, F.concat(*[weighed(c, w) for c, w in columns.items()]).alias("t")).select(*keys, F.size("t").alias("d"), "t")
+
+
+def units(rows: DataFrame, keys: list[str], columns: dict[str, float]) -> DataFrame:
+    """keys, length d and the terms t of each row, each once with its weighted frequency f.
+
+    A row's tokens are sorted and their runs added up, so nothing is grouped over rows.
+    """
+    def runs(s: Column) -> Column:
+        first = F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i))
+        return once(F.array_compact(first), lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i)["term"].alias("term"), total(s, i, F.coalesce(F.get(at, j + 1), F.size(s))).alias("f"))))
+
+    def total(s: Column, start: Column, end: Column) -> Column:
+        return F.aggregate(F.slice(s, start + 1, end - start), F.lit(0.0), lambda f, x: f + x["w"])
+
+    return _weighed(rows, keys, columns).select(*keys, "d", once(F.sort_array("t"), runs).alias("t"))
+
+
+def listed(units: DataFrame, keys: list[str]) -> DataFrame:
+    """term, keys, d and f: one row for each term of each unit."""
+    return units.select(*keys, "d", F.explode("t").alias("t")).select("t.term", *keys, "d", "t.f")
+
+
+def merged(postings: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings in which units with the same keys and length are one."""
+    return postings.groupBy("term", *keys, "d").agg(F.sum("f").alias("f"))
 
 
 def terms(queries: DataFrame, query: str = "query") -> DataFrame:

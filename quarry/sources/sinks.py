@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import iso, normalize_search
-from quarry.operators.search import index_stats, postings
+from quarry.functions.text import iso, normalize_search, searchable
+from quarry.operators.search import index_stats, listed, merged, units
 from quarry.config import Settings
 from quarry.sources import files
-from quarry.storage import written
+from quarry.storage import released, written
 
 
 def search_index(chunks: DataFrame, documents: DataFrame, path: str, s: Settings = Settings()) -> None:
     """Write the keyword index: rows, postings sorted by term, and its statistics.
 
     Only active chunks with text are indexed.  Sorted postings let a scan for a term skip
-    the row groups without it; ``search.stored_hits`` reads them.
+    the row groups without it; ``search.stored_hits`` reads them.  Each step reads what the one
+    before has written, so texts are joined and tokens cut once; only postings are shuffled,
+    and those of a term in most rows are dealt over tasks by their keys.
     """
+    spark, keys = chunks.sparkSession, ["doc_id", "chunk_index"]
     rows = (
-        chunks.filter("active = 1").join(documents.select("doc_id", "url", "title"), "doc_id")
+        chunks.filter((F.col("active") == 1) & searchable(F.col("text"))).join(documents.select("doc_id", "url", "title"), "doc_id")
         .select("doc_id", "url", normalize_search(F.coalesce("title", F.lit(""))).alias("title"), "chunk_index", normalize_search(F.col("text")).alias("text"))
-        .filter("text <> ''")
     )
-    f, d = postings(rows, ["doc_id", "chunk_index"], {"title": s.title_weight, "text": s.text_weight})
     rows.write.mode("overwrite").parquet(f"{path}/rows")
-    f.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index_stats(d).write.mode("overwrite").parquet(f"{path}/stats")
+    kept = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    counted = written(units(kept, keys, {"title": s.title_weight, "text": s.text_weight}))
+    f = listed(counted, keys)
+    if counted.groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        f = merged(f, keys)
+    f.repartitionByRange("term", *keys).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index_stats(counted).write.mode("overwrite").parquet(f"{path}/stats")
+    released(counted)
 
 
 def index_folder(spark: SparkSession, root: str, path: str, s: Settings = Settings()) -> DataFrame:

@@ -287,3 +287,27 @@ def test_index_of_a_folder(spark, tmp_path):
     assert {r.key: r.value for r in meta.collect()} == {"files": "3", "documents": "2", "chunks": "2"}
     wanted = search.terms(spark.createDataFrame([(1, "needle seven")], "query_id int, query string"))
     assert [r.doc_id for r in search.stored_hits(spark, str(tmp_path / "index"), wanted, ["doc_id", "chunk_index"]).collect()] == ["7"]
+
+
+def test_index_reads_its_chunks_once_and_counts_each_rows_terms(spark, tmp_path):
+    from quarry.sources import sinks
+
+    rows = [("a", 0, "x Y y y z"), ("a", 1, "it's ' "), ("b", 0, " ' \xa0"), ("b", 1, "y q"), ("b", 1, "q q"), ("c", 0, "gone"), ("c", 1, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_index int, text string").mapInPandas(counted, "doc_id string, chunk_index int, text string")
+    titles = spark.createDataFrame([("a", "u", "Y w"), ("b", "u", None)], "doc_id string, url string, title string")
+    sinks.search_index(chunks.withColumn("active", F.when(F.col("text") == "gone", 0).otherwise(1)), titles, str(tmp_path / "i"))
+    assert seen.value == len(rows)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "i/postings")).select("doc_id", "chunk_index", "term", "d", "f").collect()))
+    assert got == [
+        ("a", 0, "w", 7, 6.0), ("a", 0, "x", 7, 1.0), ("a", 0, "y", 7, 9.0), ("a", 0, "z", 7, 1.0),
+        ("a", 1, "its", 3, 1.0), ("a", 1, "w", 3, 6.0), ("a", 1, "y", 3, 6.0), ("b", 1, "q", 2, 3.0), ("b", 1, "y", 2, 1.0),
+    ]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "i/stats")).collect()] == [(4, 3.5)]
+    assert spark.read.parquet(str(tmp_path / "i/rows")).count() == 4
