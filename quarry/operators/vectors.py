@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.storage import written
+from quarry.storage import bounded_batches, written
 
 PASSAGE, QUERY = "passage: ", "query: "
 
@@ -54,7 +54,11 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed(rows: DataFrame, text: str = "chunk_text", prefix: str = PASSAGE, normalize: bool = True, make: Callable[[], Callable] = hashing_embedder, most: int | None = None) -> DataFrame:
-    """rows with an embedding; make() gives the model once for each worker's task."""
+    """rows with an embedding; make() gives the model once for each worker's task.
+
+    Texts reach the model in batches bounded by their bytes, however many rows there are.
+    """
+    bounded_batches(rows.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -311,3 +311,23 @@ def test_index_reads_its_chunks_once_and_counts_each_rows_terms(spark, tmp_path)
     ]
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "i/stats")).collect()] == [(4, 3.5)]
     assert spark.read.parquet(str(tmp_path / "i/rows")).count() == 4
+
+
+def test_embedding_takes_batches_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sizes = spark.conf.get(name), spark.sparkContext.accumulator(0)
+
+    def make():
+        def model(texts):
+            sizes.add(sum(map(len, texts)) > 8 << 20)
+            return np.ones((len(texts), 2), np.float32)
+
+        return model
+
+    try:
+        spark.conf.unset(name)
+        rows = spark.range(0, 1500, 1, 1).select("id", F.repeat(F.lit("x"), 20000).alias("text"))
+        assert vectors.embed(rows, "text", make=make).filter("embedding[0] > 0").count() == 1500
+        assert sizes.value == 0
+    finally:
+        spark.conf.set(name, before)
