@@ -114,15 +114,21 @@ def appended(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.join(new.select("vector_id"), "vector_id", "left_anti").unionByName(checked)
 
 
+#: Scores that a task of ``top_k`` holds at once, queries times vectors.
+CELLS = 1 << 19
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "cosine", block: int = 4096, at_once: int = 1024) -> DataFrame:
     """query_id, vec_id, score and pos of the k best vectors for each query.
 
-    Vectors stream through each task in blocks; a task multiplies a block with the query
+    Vectors stream through each task in blocks of at most ``block`` vectors and ``CELLS`` scores,
+    so a worker's memory doesn't grow with the queries; a task multiplies a block with the query
     matrix and keeps k candidates a query, so what is shuffled is tasks * queries * k rows.
     The driver reads ``at_once`` queries at a time, so their matrix has a bound; where there are
     more, a block's hits are written to the shared folder before the next is read.  Scores are
     rounded to 6 places and ties go by id.
     """
+    bounded_batches(vectors.sparkSession)
     rows = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator()
     part, found = list(islice(rows, at_once)), None
     while part or found is None:
@@ -151,9 +157,10 @@ def _candidates(rows: list, vectors: DataFrame, k: int, metric: str, block: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, m = shared.value
         best_s, best_i = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
+        step = max(1, min(block, CELLS // max(len(qid), 1)))
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 col = part.column(1)
                 if not len(qid) or not len(col):
                     continue

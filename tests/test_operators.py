@@ -5,6 +5,7 @@ import random
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.operators import lines, ranking, results, search, state, vectors
@@ -331,3 +332,37 @@ def test_embedding_takes_batches_bounded_by_bytes(spark):
         assert sizes.value == 0
     finally:
         spark.conf.set(name, before)
+
+
+def test_search_holds_a_bounded_number_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (900, 4)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    q = v.filter("vec_id < 300").withColumnRenamed("vec_id", "query_id")
+    score = np.round(x[:300] @ x.T, 6)
+    want = {(i, p + 1): (int(j), score[i, j]) for i in range(300) for p, j in enumerate(np.lexsort((np.arange(900), -score[i]))[:5])}
+    monkeypatch.setattr(vectors, "CELLS", 3000)
+    steps, was = [], pa.RecordBatch.slice
+
+    class Batch:
+        def __init__(self, b):
+            self.b, self.num_rows = b, b.num_rows
+
+        def slice(self, at, n):
+            steps.append(n)
+            return was(self.b, at, n)
+
+    class Rows:  # runs the task here, over two batches
+        sparkSession = spark
+
+        def filter(self, _):
+            return self
+
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            made = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(x[a:b].tolist())], names=["vec_id", "embedding"]) for a, b in ((0, 500), (500, 900))]
+            return spark.createDataFrame([r for o in run(map(Batch, made)) for r in map(tuple, map(dict.values, o.to_pylist()))], schema)
+
+    got = {(r.query_id, r.pos): (r.vec_id, r.score) for r in vectors.top_k(q, Rows(), 5, metric="ip").collect()}
+    assert got == want and max(steps) * 300 <= 3000
